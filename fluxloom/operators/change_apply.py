@@ -19,12 +19,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fluxloom.functions.bitmaps import is_set
-from fluxloom.storage import materialize, scratch_path
+from fluxloom.storage import materialize
 
 #: Bits of a file number below the batch number: 2^48 runs of 32,768 slots a batch.
 _BATCH_SHIFT = 49
@@ -98,16 +97,6 @@ class DeltaTable:
         return self._live().select(*self.keys, self.order, *self.payload)
 
 
-def salted(df: DataFrame, by: Column, salts: int, name: str = "_salt") -> DataFrame:
-    """``df`` with its rows scattered over ``salts`` sub-keys by a hash of ``by``."""
-    return df.withColumn(name, F.pmod(F.hash(by), F.lit(salts)))
-
-
-def replicated(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
-    """``df`` once for every sub-key, the other side of a salted join."""
-    return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-
 def nth_position(ring: DataFrame, wanted: DataFrame, keys: Sequence[str], pos: str, n: str) -> DataFrame:
     """``wanted`` with ``cutoff``: the ``n``-th smallest distinct position of its ring.
 
@@ -115,8 +104,6 @@ def nth_position(ring: DataFrame, wanted: DataFrame, keys: Sequence[str], pos: s
     32,768, only the block that holds the n-th is numbered, so no ring is sorted in
     one task.  n below 1 gives -1; beyond the end of the ring, the largest bigint.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
     block = F.call_function("div", F.col(pos), F.lit(32768).cast("bigint"))
     ring = ring.withColumn("_block", block)
