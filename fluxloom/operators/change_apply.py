@@ -68,7 +68,8 @@ class DeltaTable:
     def _live(self) -> DataFrame:
         if self.vectors is None:
             return self.images
-        dv = self.vectors.withColumnRenamed("_file", "_dv_file")
+        # delete vectors lie compressed: the size of their files says little about their size in memory, so never broadcast them
+        dv = self.vectors.withColumnRenamed("_file", "_dv_file").hint("merge")
         return self.images.join(dv, F.col("_file") == F.col("_dv_file"), "left").where(~is_set(F.col("_bits"), F.col("_slot"))).drop("_dv_file", "_bits")
 
     def apply(self, changes: DataFrame) -> "DeltaTable":

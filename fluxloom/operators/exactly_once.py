@@ -85,7 +85,8 @@ def take_unseen(batch: DataFrame, seen: SeenBits) -> DataFrame:
         on = same[0]
         for c in same[1:]:
             on = on & c
-        best = best.join(known, on, "left").where(~is_set(F.col("bitmap"), F.col("bit"))).select(*keys, "bit", "arrival")
+        # bitmaps lie compressed: the size of their files says little about their size in memory, so never broadcast them
+        best = best.join(known.hint("merge"), on, "left").where(~is_set(F.col("bitmap"), F.col("bit"))).select(*keys, "bit", "arrival")
     path = scratch_path(seen.spark, "winners")
     best.write.option("compression", "zstd").parquet(path)
     winners = seen.spark.read.schema(best.schema).parquet(path)
