@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import packing
+from fluxloom.llm import packing, subjects
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,8 +28,22 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "subject_label").select("doc_id", "subject"), read(spark, sf_dir, "subject_area"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document."""
+    return _subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Make-up of the corpus: documents of each subject, and the documents' worth of text it makes up."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("share"), 3).alias("weight"))
+
+
 def queries() -> dict:
-    return {"p6_packed": p6_packed, "p6_fill": p6_fill}
+    return {"p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_mix": p8_mix}
 
 
 def oracle_sql() -> dict:
