@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pathlib
+import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +34,27 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once a session; they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    here = pathlib.Path(__file__).parent
+    folder = tempfile.mkdtemp(prefix="fluxloom-package-")
+    with zipfile.ZipFile(f"{folder}/fluxloom.zip", "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    spark.sparkContext.addPyFile(f"{folder}/fluxloom.zip")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path nobody has used yet; it is removed when the session's Python ends."""
+    ship(spark)
     path = f"{shared_dir(spark)}/fluxloom/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     return path
@@ -66,5 +88,6 @@ atexit.register(release)
 
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share of ``df`` before a Python stage, where the scan alone has fewer splits."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
