@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import packing, subjects
+from fluxloom.llm import leakage, packing, subjects
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,22 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.found(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "eval_item").select("item_id", "text", "answer"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry a passage of an evaluation item."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items that leaked: documents that carry them, verbatim ones, and ones with the answer beside."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if(F.col("agreement") == 1).alias("verbatim"), F.count_if("answer_near").alias("with_answer")
+    )
+
+
 def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.assign(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "subject_label").select("doc_id", "subject"), read(spark, sf_dir, "subject_area"))
 
@@ -43,7 +59,7 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_packed": p6_packed, "p6_fill": p6_fill, "p8_found": p8_found, "p8_mix": p8_mix}
+    return {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_mix": p8_mix}
 
 
 def oracle_sql() -> dict:
