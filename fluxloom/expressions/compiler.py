@@ -71,6 +71,10 @@ class Scope:
         return cls(rows, frozenset(present), plain, now=F.timestamp_millis(F.col("ts")))
 
 
+def _UINT_MAX() -> Column:  # noqa: N802
+    return F.lit(str((1 << 64) - 1)).cast("decimal(20,0)")
+
+
 def _fails(when: Column, why: str) -> Column:
     return F.when(when, F.lit(why))
 
@@ -122,7 +126,7 @@ class _Compiler:
         if n.type == "int" and not -(1 << 63) <= n.value < 1 << 63:
             raise ExpressionError("integer literal out of range")
         if n.type == "uint":
-            return Value("uint", F.lit(n.value).cast("decimal(20,0)"), lit=n.value)
+            return Value("uint", F.lit(str(n.value)).cast("decimal(20,0)"), lit=n.value)
         cast = {"int": "bigint", "double": "double", "string": "string", "bool": "boolean", "bytes": "binary", "null": "void"}[n.type]
         return Value(n.type, F.lit(n.value) if n.type == "bytes" else F.lit(n.value).cast(cast), maybe_null=n.type == "null", lit=n.value)
 
@@ -290,7 +294,7 @@ class _Compiler:
         if kinds == ("uint", "uint"):
             if op in whole:
                 col = whole[op](a.col, b.col).try_cast("decimal(20,0)")
-                return Value("uint", col, _first(err, _fails(col.isNull() | (col < 0) | (col > F.lit((1 << 64) - 1).cast("decimal(20,0)")), "unsigned overflow")))
+                return Value("uint", col, _first(err, _fails(col.isNull() | (col < 0) | (col > _UINT_MAX()), "unsigned overflow")))
             zero = _fails(b.col == 0, "divide by zero" if op == "/" else "modulus by zero")
             safe = F.when(b.col != 0, b.col)
             return Value("uint", (F.floor(a.col / safe) if op == "/" else a.col % safe).cast("decimal(20,0)"), _first(err, zero))
@@ -423,7 +427,7 @@ class _Compiler:
 
     def fn_uint(self, v: Value) -> Value:
         out = self.convert(v, "uint", "uint", ("int", "uint", "double", "string"), "decimal(20,0)")
-        return Value("uint", F.floor(out.col).cast("decimal(20,0)") if v.type == "double" else out.col, _first(out.err, _fails((out.col < 0) | (out.col > F.lit((1 << 64) - 1).cast("decimal(20,0)")), "cannot convert to uint")))
+        return Value("uint", F.floor(out.col).cast("decimal(20,0)") if v.type == "double" else out.col, _first(out.err, _fails((out.col < 0) | (out.col > _UINT_MAX()), "cannot convert to uint")))
 
     def fn_double(self, v: Value) -> Value:
         return self.convert(v, "double", "double", ("int", "uint", "double", "string"), "double")
