@@ -22,11 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxloom.operators.skew import replicated, salted
+from fluxloom.operators.skew import join_hot
 from fluxloom.storage import materialize
 
 STREAM = ["source_id", "stream_name"]
-_SALTS = 8
 
 
 @dataclass
@@ -56,9 +55,9 @@ def versions_of(files: DataFrame, rows: DataFrame) -> DataFrame:
     first = files.groupBy(*STREAM, "file_no").agg(F.min_by(F.struct("file_id", "field_list"), F.struct(F.col("field_list").isNull(), F.col("file_id"))).alias("f")).select(*STREAM, "file_no", "f.*")
     first = materialize(first, "versions")
     listed = first.where("field_list is not null").select("file_id", F.explode("field_list").alias("c")).select("file_id", F.col("c.name").alias("name"), type_text(F.col("c.data_type")).alias("type"))
-    bare = replicated(first.where("field_list is null").select("file_id"), _SALTS)
+    bare = first.where("field_list is null").select("file_id")
     carried = (
-        salted(rows.select("file_id", "line_no", "payload"), F.col("line_no"), _SALTS).join(bare, ["file_id", "_salt"])
+        join_hot(rows.select("file_id", "line_no", "payload"), bare, ["file_id"], F.col("line_no"))
         .select("file_id", F.explode(F.map_keys(record_of(F.col("payload")))).alias("name")).distinct().withColumn("type", F.lit(None).cast("string"))
     )
     cols = listed.unionByName(carried).where("name is not null").groupBy("file_id", "name").agg(F.min("type").alias("type"))
@@ -73,8 +72,8 @@ def versions_of(files: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _side(rows: DataFrame, pairs: DataFrame, file: str, names: str, key: str) -> DataFrame:
     """Values of the fields ``names`` for every record of one side of the pairs; of lines with the same key the last counts."""
-    at = replicated(pairs.select(F.col(file).alias("file_id"), F.col("file_id").alias("pair"), names), _SALTS) if file != "file_id" else replicated(pairs.select("file_id", F.col("file_id").alias("pair"), names), _SALTS)
-    hit = salted(rows.select("file_id", "line_no", "payload"), F.col("line_no"), _SALTS).join(at, ["file_id", "_salt"]).withColumn("r", record_of(F.col("payload")))
+    at = pairs.select(F.col(file).alias("file_id"), F.col("file_id").alias("pair"), names)
+    hit = join_hot(rows.select("file_id", "line_no", "payload"), at, ["file_id"], F.col("line_no")).withColumn("r", record_of(F.col("payload")))
     values = F.transform(names, lambda n: F.col("r")[n])
     return hit.select("pair", F.col("r")[key].alias("rec"), "line_no", values.alias("v")).where("rec is not null").groupBy("pair", "rec").agg(F.max_by("v", "line_no").alias("v"))
 
@@ -201,7 +200,7 @@ def unified(v: Versions, rows: DataFrame) -> DataFrame:
     nxt = F.min("lo").over(Window.partitionBy(*STREAM, "column").orderBy("hi", "lo").rowsBetween(1, Window.unboundedFollowing))
     ends = ends.withColumn("column", F.when(nxt <= F.col("hi"), F.concat("column", F.lit("@"), F.col("root_no").cast("string"))).otherwise(F.col("column")))
     names = v.fields.join(ends.select(*line, "column"), line).groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "column"))).alias("names"))
-    place = replicated(v.files.select("file_id", *STREAM, "file_no").join(names, "file_id", "left"), _SALTS)
-    hit = salted(rows.select("file_id", "line_no", "payload"), F.col("line_no"), _SALTS).join(place, ["file_id", "_salt"]).withColumn("r", record_of(F.col("payload")))
+    place = materialize(v.files.select("file_id", *STREAM, "file_no").join(names, "file_id", "left"), "names")
+    hit = join_hot(rows.select("file_id", "line_no", "payload"), place, ["file_id"], F.col("line_no")).withColumn("r", record_of(F.col("payload")))
     named = F.transform_keys("r", lambda k, _: F.coalesce(F.col("names")[k], k))
     return hit.select(*STREAM, "file_no", "line_no", F.map_filter(named, lambda _, x: x.isNotNull()).alias("record"))

@@ -14,3 +14,19 @@ def salted(df: DataFrame, by: Column, salts: int, name: str = "_salt") -> DataFr
 def replicated(df: DataFrame, salts: int, name: str = "_salt") -> DataFrame:
     """``df`` once for every sub-key, the other side of a salted join."""
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+
+#: Rows up to which the other side of a join is broadcast, after they were counted.
+BROADCAST_ROWS = 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], by: Column, salts: int = 16, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Inner join with a ``right`` of narrow rows, where one key may hold a large share of ``left``.
+
+    ``right`` is counted (give it materialized).  Up to ``most`` rows it is broadcast and ``left`` stays where it is;
+    beyond, ``left`` is scattered over ``salts`` sub-keys by a hash of ``by``, ``right`` is replicated, and both are
+    sorted and merged, so neither size nor skew matters.
+    """
+    if right.limit(most + 1).count() <= most:
+        return left.join(F.broadcast(right), keys)
+    return salted(left, by, salts).join(replicated(right, salts).hint("merge"), [*keys, "_salt"]).drop("_salt")

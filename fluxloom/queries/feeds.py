@@ -60,10 +60,6 @@ def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-#: Sub-keys of a stream when its changes meet the pipelines that read it; one stream may hold a third of all changes.
-_SALTS = 16
-
-
 def p2_found(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
     """Rows alive in each stream as each pipeline has read it, through delete vectors."""
     log = read(spark, sf_dir, "change_log").select("delivery_id", "chain_id", plain(F.col("src")).alias("src"), plain(F.col("op")).alias("op"), position(F.col("src_pos")).alias("pos"), F.col("before_row.id").alias("before_id"), F.col("after_row.id").alias("after_id"))
@@ -75,16 +71,15 @@ def p2_found(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:
         .groupBy("pipeline_id", "chain_id", plain(F.col("name")).alias("src")).agg(F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("n"))
     )
     cutoffs = materialize(change_apply.nth_position(ring.select(*keys, "pos"), wanted, keys, "pos", "n").select("pipeline_id", *keys, "cutoff"), "cutoffs")
-    reach = skew.replicated(cutoffs, _SALTS)
 
     step = lambda i, alive: F.struct(i.alias("id"), F.lit(alive).alias("alive"))
     before, after = F.col("before_id"), F.col("after_id")
     sets = F.when(F.col("op").isin("i", "u") & after.isNotNull(), step(after, True))
     ends = F.when((F.col("op") == "d") | ((F.col("op") == "u") & ~before.eqNullSafe(after)), F.when(before.isNotNull(), step(before, False)))
     steps = ring.select(*keys, "pos", F.explode(F.filter(F.array(sets, ends), lambda x: x.isNotNull())).alias("s")).select(*keys, "pos", "s.*")
-    read_by = skew.salted(steps, F.col("id"), _SALTS).join(reach, [*keys, "_salt"]).where("pos <= cutoff").select("pipeline_id", *keys, "id", "pos", "alive")
+    read_by = skew.join_hot(steps, cutoffs, keys, F.col("id")).where("pos <= cutoff").select("pipeline_id", *keys, "id", "pos", "alive")
     snapshot = log.where("op = 'r' and after_id is not null").select(*keys, F.col("after_id").alias("id")).distinct()
-    base = skew.salted(snapshot, F.col("id"), _SALTS).join(reach, [*keys, "_salt"]).select("pipeline_id", *keys, "id", F.lit(0).cast("bigint").alias("pos"), F.lit(True).alias("alive"))
+    base = skew.join_hot(snapshot, cutoffs, keys, F.col("id")).select("pipeline_id", *keys, "id", F.lit(0).cast("bigint").alias("pos"), F.lit(True).alias("alive"))
 
     table = change_apply.DeltaTable(spark, ["pipeline_id", *keys, "id"], "pos").apply(base)
     last = ring.agg(F.max("pos")).first()[0] or 0

@@ -1,4 +1,4 @@
-"""Pipelines as documents: text -> checked resources.  Pure Python, no Spark."""
+"""Pipelines as documents: text -> checked resources.  Only ``Workspace.check_types`` needs a Spark session."""
 
 from fluxloom.spec.documents import Resource, canonical, content_hash, interpolate, load
 from fluxloom.spec.rules import Workspace
