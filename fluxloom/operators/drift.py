@@ -26,6 +26,8 @@ from fluxloom.operators.skew import join_hot
 from fluxloom.storage import materialize
 
 STREAM = ["source_id", "stream_name"]
+#: Stands for a null name inside, so that streams join by equality; no name holds it.
+_NULL = "\0"
 
 
 @dataclass
@@ -143,7 +145,12 @@ def renames_of(files: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
         "pair", "old", "new", "n", "same", "overlap", F.coalesce(F.col("k")[F.col("new")] == F.col("pk")[F.col("old")], F.lit(False)).cast("int").alias("same_type"),
         (1 - F.levenshtein(F.lower("old"), F.lower("new")) / F.greatest(F.length("old"), F.length("new"), F.lit(1))).alias("likeness"),
     )
-    return edges.groupBy("pair").applyInPandas(_match, "pair bigint, old string, new string")
+    edges = materialize(edges, "edges")
+    # a pair of names that has no rival is its own matching; only the others are weighed against each other
+    degree = lambda side: F.count(F.lit(1)).over(Window.partitionBy("pair", side))
+    edges = edges.withColumn("_alone", (degree("old") == 1) & (degree("new") == 1))
+    contested = edges.where(~F.col("_alone")).drop("_alone").groupBy("pair").applyInPandas(_match, "pair bigint, old string, new string")
+    return edges.where("_alone").select("pair", "old", "new").unionByName(contested)
 
 
 def _roots(links: pd.DataFrame) -> pd.DataFrame:
@@ -161,6 +168,7 @@ def track(files: DataFrame, rows: DataFrame, key: str = "id") -> Versions:
     ``files``: file_id, source_id, stream_name, file_no, field_list; ``rows``: file_id, line_no, payload.  Null stream
     names form a stream of their own; no files give no versions.
     """
+    files = files.select("file_id", *[F.coalesce(F.col(c).cast("string"), F.lit(_NULL)).alias(c) for c in STREAM], "file_no", "field_list")
     versions = materialize(versions_of(files, rows), "versions-cols")
     renames = materialize(
         renames_of(versions, rows, key).join(versions.select(F.col("file_id").alias("pair"), *STREAM, "file_no", "prev_no"), "pair").drop("pair"), "renames"
@@ -170,7 +178,12 @@ def track(files: DataFrame, rows: DataFrame, key: str = "id") -> Versions:
     fields = fields.withColumn("since", since).drop("starts")
     old = fields.select(*STREAM, F.col("file_no").alias("prev_no"), F.col("name").alias("old"), F.col("since").alias("old_no"))
     links = renames.join(old, [*STREAM, "prev_no", "old"]).select(*STREAM, "file_no", "old", "old_no", "new")
-    roots = links.groupBy(*STREAM).applyInPandas(_roots, "source_id string, stream_name string, name string, since int, root string, root_no int")
+    links = materialize(links, "links")
+    # a field renamed once has its old name as root; only streams where a renamed field is renamed again are walked
+    again = links.join(links.select(*STREAM, F.col("new").alias("old"), F.col("file_no").alias("old_no")), [*STREAM, "old", "old_no"], "left_semi").select(*STREAM).distinct()
+    walked = links.join(again, STREAM, "left_semi").groupBy(*STREAM).applyInPandas(_roots, "source_id string, stream_name string, name string, since int, root string, root_no int")
+    once = links.join(again, STREAM, "left_anti").select(*STREAM, F.col("new").alias("name"), F.col("file_no").alias("since"), F.col("old").alias("root"), F.col("old_no").alias("root_no"))
+    roots = once.unionByName(walked)
     traced = fields.join(roots, [*STREAM, "name", "since"], "left").withColumn("root", F.coalesce("root", "name")).withColumn("root_no", F.coalesce("root_no", "since"))
     return Versions(versions, materialize(traced, "fields"), renames)
 
@@ -187,7 +200,12 @@ def changes(v: Versions) -> DataFrame:
 
     known = F.last("type", ignorenulls=True).over(Window.partitionBy(*STREAM, "root", "root_no").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1))
     retyped = v.fields.withColumn("known", known).where("type <> known").select(*at, F.lit("retyped").alias("change_kind"), F.col("name").alias("field_name"), F.col("name").alias("prev_name"))
-    return renamed.unionByName(plain("gone", "removed", "old")).unionByName(plain("came", "added", "new")).unionByName(retyped)
+    return _named(renamed.unionByName(plain("gone", "removed", "old")).unionByName(plain("came", "added", "new")).unionByName(retyped))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """Streams under their own names again."""
+    return df.select(*[F.nullif(F.col(c), F.lit(_NULL)).alias(c) if c in STREAM else c for c in df.columns])
 
 
 def unified(v: Versions, rows: DataFrame) -> DataFrame:
@@ -203,4 +221,4 @@ def unified(v: Versions, rows: DataFrame) -> DataFrame:
     place = materialize(v.files.select("file_id", *STREAM, "file_no").join(names, "file_id", "left"), "names")
     hit = join_hot(rows.select("file_id", "line_no", "payload"), place, ["file_id"], F.col("line_no")).withColumn("r", record_of(F.col("payload")))
     named = F.transform_keys("r", lambda k, _: F.coalesce(F.col("names")[k], k))
-    return hit.select(*STREAM, "file_no", "line_no", F.map_filter(named, lambda _, x: x.isNotNull()).alias("record"))
+    return _named(hit.select(*STREAM, "file_no", "line_no", F.map_filter(named, lambda _, x: x.isNotNull()).alias("record")))

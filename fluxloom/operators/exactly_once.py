@@ -95,18 +95,19 @@ def take_unseen(batch: DataFrame, seen: SeenBits) -> DataFrame:
 
 
 def first_deliveries(batches: Iterable[DataFrame], spark: SparkSession, width: int, seen: SeenBits | None = None) -> DataFrame:
-    """Arrivals of the kept copies over encoded batches, given in order of arrival.
+    """(``n0``, ``arrival``) of the kept copies over encoded batches, given in order of arrival.
 
-    Identifiers compare null-safely: a null namespace part equals a null.  The
-    arrival must be unique; where it is not, rows that share the kept arrival
-    count as one delivery.  No batch, or empty ones, give an empty result.
+    ``n0`` is the first part of the namespace; several feeds with arrivals of their own go through together with the
+    feed's name as that part.  Identifiers compare null-safely: a null namespace part equals a null.  The arrival must
+    be unique in its feed; where it is not, rows that share the kept arrival count as one delivery.  No batch, or empty
+    ones, give an empty result.
     """
     seen = seen or SeenBits(spark, scratch_path(spark, "seen"), width)
     kept = None
     for batch in batches:
-        won = take_unseen(batch, seen).select("arrival")
+        won = take_unseen(batch, seen).select("n0", "arrival")
         kept = won if kept is None else kept.unionByName(won)
-    return kept if kept is not None else spark.createDataFrame([], "arrival bigint")
+    return kept if kept is not None else spark.createDataFrame([], "n0 string, arrival bigint")
 
 
 def arrival_batches(df: DataFrame, arrival: str, n: int) -> list[DataFrame]:
@@ -118,6 +119,7 @@ def arrival_batches(df: DataFrame, arrival: str, n: int) -> list[DataFrame]:
     return [df.where((F.col(arrival) >= a) & (F.col(arrival) < b)) for a, b in zip(edges, edges[1:]) if a < b]
 
 
-def surplus(rows: DataFrame, arrival: str, kept: DataFrame) -> DataFrame:
-    """Rows of ``rows`` (all with an identifier) whose arrival is not among ``kept``; the join key is unique, so it never skews."""
-    return rows.join(kept.select(F.col("arrival").alias(arrival)), arrival, "left_anti")
+def surplus(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """Encoded ``rows`` whose arrival is not among ``kept``; the join key is unique, so it never skews."""
+    same = F.col("l.n0").eqNullSafe(F.col("r.n0")) & (F.col("l.arrival") == F.col("r.arrival"))
+    return rows.select("n0", "arrival").alias("l").join(kept.alias("r"), same, "left_anti")

@@ -18,46 +18,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _ORDINAL_DIGITS = 15
 
 
-def _identified(log: DataFrame, offsets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables as encoded rows; what carries no identifier is left out."""
-    op, digits = plain(F.col("op")), position_digits(F.col("src_pos"))
-    snapshot = op.eqNullSafe("r")
-    high = F.when(snapshot | (F.length(digits) <= _ORDINAL_DIGITS), "").otherwise(F.expr(f"substring(_digits, 1, length(_digits) - {_ORDINAL_DIGITS})"))
-    low = F.when(snapshot, F.col("after_row.id")).otherwise(F.expr(f"cast(right(_digits, {_ORDINAL_DIGITS}) as bigint)"))
-    messages = exactly_once.encode(log.withColumn("_digits", digits), [F.col("chain_id"), plain(F.col("src")), F.when(snapshot, "row").otherwise("position"), high], low, F.col("delivery_id"))
-    acked = position_digits(F.col("sink_acked_srcpos"))
-    high = F.when(F.length(acked) <= _ORDINAL_DIGITS, "").otherwise(F.expr(f"substring(_digits, 1, length(_digits) - {_ORDINAL_DIGITS})"))
-    checkpoints = exactly_once.encode(offsets.withColumn("_digits", acked), [F.col("pipeline_id"), high], F.expr(f"cast(right(_digits, {_ORDINAL_DIGITS}) as bigint)"), F.col("offset_id"))
-    return messages, checkpoints
-
-
-def _kept(spark: SparkSession, sf_dir: str, batches: int = 2) -> list[tuple[str, DataFrame, DataFrame]]:
-    log = read(spark, sf_dir, "change_log").select("delivery_id", "chain_id", "op", "src", "src_pos", F.struct("after_row.id").alias("after_row"))
-    offsets = read(spark, sf_dir, "consumer_offset").select("offset_id", "pipeline_id", "sink_acked_srcpos")
-    out = []
-    for name, rows in zip(("change_log", "consumer_offset"), _identified(log, offsets)):
-        width = len(rows.columns) - 3
-        parts = exactly_once.arrival_batches(rows, "arrival", batches)
-        out.append((name, rows.select("arrival"), exactly_once.first_deliveries(parts, spark, width)))
-    return out
+def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both feeds as encoded rows under their name; what carries no identifier is left out."""
+    high = lambda d: F.when(F.length(d) <= _ORDINAL_DIGITS, "").otherwise(F.expr(f"substring(_digits, 1, length(_digits) - {_ORDINAL_DIGITS})"))
+    low = F.expr(f"cast(right(_digits, {_ORDINAL_DIGITS}) as bigint)")
+    log = read(spark, sf_dir, "change_log").select("delivery_id", "chain_id", plain(F.col("src")).alias("src"), plain(F.col("op")).eqNullSafe("r").alias("snapshot"), position_digits(F.col("src_pos")).alias("_digits"), F.col("after_row.id").alias("row"))
+    snapshot = F.col("snapshot")
+    messages = exactly_once.encode(
+        log, [F.lit("change_log"), F.col("chain_id"), F.col("src"), F.when(snapshot, "row").otherwise("position"), F.when(snapshot, "").otherwise(high(F.col("_digits")))],
+        F.when(snapshot, F.col("row")).otherwise(low), F.col("delivery_id"),
+    )
+    offsets = read(spark, sf_dir, "consumer_offset").select("offset_id", "pipeline_id", position_digits(F.col("sink_acked_srcpos")).alias("_digits"))
+    checkpoints = exactly_once.encode(offsets, [F.lit("consumer_offset"), F.col("pipeline_id"), F.lit(""), F.lit("position"), high(F.col("_digits"))], low, F.col("offset_id"))
+    return messages.unionByName(checkpoints)
+
+
+def _kept(spark: SparkSession, sf_dir: str, batches: int = 2) -> tuple[DataFrame, DataFrame]:
+    rows = _identified(spark, sf_dir)
+    return rows, exactly_once.first_deliveries(exactly_once.arrival_batches(rows, "arrival", batches), spark, len(rows.columns) - 3)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surplus deliveries: all but the first of the rows that carry the same identifier."""
-    out = None
-    for name, rows, kept in _kept(spark, sf_dir):
-        part = exactly_once.surplus(rows, "arrival", kept).select(F.lit(name).alias("source_table"), F.col("arrival").alias("row_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return exactly_once.surplus(*_kept(spark, sf_dir)).select(F.col("n0").alias("source_table"), F.col("arrival").alias("row_id"))
 
 
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copies that come out: one arrival per identifier."""
-    out = None
-    for name, _, kept in _kept(spark, sf_dir):
-        part = kept.select(F.lit(name).alias("source_table"), F.col("arrival").alias("row_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _kept(spark, sf_dir)[1].select(F.col("n0").alias("source_table"), F.col("arrival").alias("row_id"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:

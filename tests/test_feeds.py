@@ -41,8 +41,8 @@ def test_first_of_each_identifier_is_kept_over_any_batches(spark, keys, n):
         if k is not None and (ns, k) not in seen:
             seen.add((ns, k))
             want.append(i)
-    assert sorted(r[0] for r in kept.collect()) == want
-    assert sorted(r[0] for r in exactly_once.surplus(df.select("arrival"), "arrival", kept).collect()) == [i for ns, k, i, *_ in data if k is not None and i not in want]
+    assert sorted(r.arrival for r in kept.collect()) == want
+    assert sorted(r.arrival for r in exactly_once.surplus(df, kept).collect()) == [i for ns, k, i, *_ in data if k is not None and i not in want]
 
 
 def test_seen_bits_survive_between_runs_and_a_rerun_of_a_lost_commit(spark):

@@ -118,3 +118,20 @@ def test_upsert_table_is_idempotent_and_compacts(spark, tmp_path):
     assert rows(t.read()) == [(1, "a"), (3, "c")]
     a = AppendTable(spark, f"{tmp_path}/a")
     assert a.apply(spark.range(2), 0) and not a.apply(spark.range(2), 0) and a.read().count() == 2
+
+
+def test_view_tiers_and_schema_policy(spark, tmp_path):
+    from fluxloom.plans import views
+
+    rows_ = spark.createDataFrame([(1, "eu"), (2, "us")], "id int, region string")
+    got = views.store(rows_, "v_test", {"hot": {"ttl": "1h"}, "warm": {"collection": "c"}, "cold": {"partition_by": ["region"]}}, str(tmp_path))
+    assert rows(got) == rows(spark.table("v_test")) == rows(spark.read.parquet(f"{tmp_path}/c")) == [(1, "eu"), (2, "us")]
+    assert (tmp_path / "v_test.cold" / "region=eu").is_dir() and got.storageLevel.useMemory
+    got.unpersist()
+    with pytest.raises(Coded):
+        views.store(rows_, "v_test", {"cold": {"partition_by": ["nope"]}}, str(tmp_path))
+    wider = rows_.selectExpr("*", "1 AS x")
+    assert views.evolve(rows_, wider, {"evolution": "additive"}).columns == ["id", "region", "x"]
+    for old, new, policy in ((rows_, wider, {"enforce": True}), (wider, rows_, {"evolution": "additive"})):
+        with pytest.raises(Coded):
+            views.evolve(old, new, policy)

@@ -104,5 +104,14 @@ def test_ambiguous_pairs_and_half_agreement(spark):
     assert {c[1] for c in drifted(spark, files, half)[0]} == {"removed", "added"}  # two of four is not more than half; null against null says nothing
 
 
+def test_a_stream_without_a_name_is_a_stream(spark):
+    files = [(i, None, "t", i, [("id", "i"), (f"c{i}", "int" if i < 3 else "text"), (f"d{i}", "x")]) for i in (1, 2, 3)]
+    lines = [(i, k, {"id": k, f"c{i}": k, f"d{i}": f"{i}{k}"}) for i in (1, 2, 3) for k in range(4)]
+    changes, unified = drifted(spark, files, lines)
+    want = [(n, *c) for n in (2, 3) for c in (("renamed", f"c{n}", f"c{n - 1}"), ("removed", f"d{n - 1}", f"d{n - 1}"), ("added", f"d{n}", f"d{n}"))] + [(3, "retyped", "c3", "c3")]
+    assert set(changes) == set(want) and len(changes) == 7
+    assert sum('"c3":"2"' in r for *_, r in unified) == 3  # one column over both renames
+
+
 def test_no_files(spark):
     assert drifted(spark, [], []) == ([], [])
