@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fluxloom import envelope
 from fluxloom.operators import nest as nesting
+from fluxloom.functions.messages import plain
 from fluxloom.operators import rows, targets
 from fluxloom.queries.feeds import read
 from fluxloom.sources import tables as source_tables
@@ -262,11 +263,60 @@ def process(record, ctx):
     return rows.py_step(_events(spark, sf, "nation"), code).select("op", "src", "after.n_nationkey", "after.n_name")
 
 
+_DOCUMENTS = [
+    "kind: source\nid: shop\nconnector: parquet\nconfig: {{ path: '{path}', keys: {{ orders: [o_orderkey], customer: [c_custkey], nation: [n_nationkey] }} }}\nmode: snapshot\ntables: [ orders, /customer|nation/ ]\n",
+    """kind: pipeline
+id: customers_with_orders
+source: shop
+settings: { read_mode: snapshot_only }
+transforms:
+  - { id: dear, from: orders, type: filter, expr: "after.o_totalprice > 250000.0" }
+  - { id: slim, type: map, fields: { order_id: $o_orderkey, customer_id: $o_custkey, urgent: "=after.o_orderpriority == '1-URGENT'", o_orderdate: false, o_orderstatus: false } }
+  - { id: named, from: { c: shop.customer, n: nation }, type: join, engine: spark, sql: "SELECT c.c_custkey, c.c_name, n.n_name FROM c JOIN n ON c.c_nationkey = n.n_nationkey" }
+  - id: tree
+    type: nest
+    from: { c: named, o: slim }
+    root: { from: c, key: [c_custkey], embed: [ { from: o, on: { customer_id: c_custkey }, as: array, path: orders, arrayKey: [order_id] } ] }
+view: { id: customers, from: tree, primary_key: c_custkey }
+""",
+]
+
+
+def pipeline_documents(spark, sf):
+    """A pipeline from its documents: filter, map, join, nest and a keyed view over one source."""
+    from fluxloom.plans.pipeline import build
+    from fluxloom.sources.readers import reader_for
+    from fluxloom.spec import Workspace, load
+
+    ws = Workspace([load(_DOCUMENTS[0].format(path=sf), {}), load(_DOCUMENTS[1], {})])
+    view = build(ws, "customers_with_orders", {"shop": reader_for(spark, ws.by_id["shop"].body)}).view("customers")
+    return view.select("c_custkey", "c_name", "n_name", F.size("orders").alias("n_orders"), F.size(F.filter("orders", lambda o: o["urgent"])).alias("n_urgent"))
+
+
+def stream_upsert(spark, sf):
+    """The change log as a stream of files into an upsert table; rows alive by arrival after all micro-batches."""
+    from fluxloom.storage import file_system, scratch_path
+    from fluxloom.streaming.tables import UpsertTable
+
+    path, keys = f"{sf}/change_log.parquet", ["chain_id", "src", "id"]
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8)
+    fs, at = file_system(spark, path)
+    # a stream reads a folder: the table's own, or the one its single file lies in
+    stream = stream.parquet(path) if fs.getFileStatus(at).isDirectory() else stream.option("pathGlobFilter", "change_log.parquet").parquet(sf)
+    row = lambda side: F.when(F.col(side).isNotNull(), F.struct("chain_id", "src", f"{side}.id", f"{side}.customer", f"{side}.region"))
+    shaped = stream.withColumn("src", plain(F.col("src"))).withColumn("old", row("before_row")).withColumn("new", row("after_row"))
+    events = envelope.changes_of(shaped, F.col("delivery_id"), before="old", after="new", src_pos="src_pos")
+    table = UpsertTable(spark, scratch_path(spark, "stream-upsert"), keys)
+    out = events.writeStream.foreachBatch(lambda df, n: table.apply(targets.steps_of(df, keys), n) and None).option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
+    out.trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("chain_id", "src", "id", "customer", "region")
+
+
 _NAMED = [
     snapshot_scan, table_select_regex, table_filter, filter_predicate, filter_and_or_ternary, filter_string_fns, filter_in_list, filter_or_absorbs_error, filter_ddl_bypass, map_rename_drop_literal,
     map_computed_arith, map_int_div_mod, map_string_concat, map_timestamp_parts, map_order_passthrough, cel_list_macros, union_bag, fan_in_filter, fanout_exclusive, upsert_latest, upsert_with_deletes,
     append_reforge, snapshot_cdc_overlap, start_from_instant, ddl_policy_ignore, dead_letter, nest_array, nest_two_level, nest_object, nest_array_key_dedup, join_asof, join_time_windows, view_latest,
-    push_envelope, push_projection, rename_tables, py_fanout,
+    push_envelope, push_projection, rename_tables, py_fanout, pipeline_documents, stream_upsert,
 ]
 
 
@@ -319,6 +369,12 @@ def oracle_sql() -> dict:
         "push_envelope": "SELECT 'r' AS op, r_name AS name, 'region' AS src FROM region",
         "push_projection": "SELECT n_name AS name, n_nationkey::BIGINT + 100 AS key FROM nation",
         "rename_tables": "SELECT * FROM (VALUES ('region', 'ods_area'), ('nation', 't_Nation_x'), ('ORDER_ITEMS', 't_OrderItems_x'), ('httpServerLog', 't_HttpServerLog_x'), ('XMLFile2', 't_XmlFile2_x')) v(source, target)",
+        "pipeline_documents": "SELECT c_custkey, c_name, n_name, count(o_orderkey) AS n_orders, count(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS n_urgent FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000 GROUP BY 1, 2, 3",
+        "stream_upsert": """WITH e AS (SELECT chain_id, lower(trim(src)) AS src, lower(trim(op)) AS op, before_row AS b, after_row AS a, delivery_id AS n FROM change_log),
+            s AS (SELECT chain_id, src, CASE WHEN op = 'd' THEN b.id ELSE a.id END AS id, n, op <> 'd' AS alive, a FROM e WHERE op <> 'ddl'
+                  UNION ALL SELECT chain_id, src, b.id, n, false, NULL FROM e WHERE op = 'u' AND b IS NOT NULL AND b.id IS DISTINCT FROM a.id),
+            l AS (SELECT *, row_number() OVER (PARTITION BY chain_id, src, id ORDER BY n DESC, alive DESC) AS rk FROM s)
+            SELECT chain_id, src, id, a.customer AS customer, a.region AS region FROM l WHERE rk = 1 AND alive""",
         "py_fanout": "SELECT 'i' AS op, 'even' AS src, n_nationkey, n_name FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 2 = 0 UNION ALL SELECT 'r', 'nation', n_nationkey, lower(n_name) FROM nation WHERE n_regionkey NOT IN (2, 3)",
     }
     for name, (aliases, sql) in _JOIN_SQL.items():

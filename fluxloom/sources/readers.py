@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import glob
-import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -13,6 +11,7 @@ from pyspark.sql import types as T
 
 from fluxloom import envelope
 from fluxloom.errors import Coded
+from fluxloom.storage import file_system
 
 
 @dataclass(frozen=True)
@@ -39,9 +38,9 @@ class Reader:
 
     def tables(self) -> list[str]:
         """Names of all tables, those with a log alone included."""
-        local = self.root.removeprefix("file://")
-        found = {os.path.basename(p).rsplit(".", 1)[0] for p in glob.glob(f"{local}/*.{self.format}") + glob.glob(f"{local}/*.log")}
-        return sorted(found)
+        fs, at = file_system(self.spark, self.root)
+        names = [s.getPath().getName().rsplit(".", 1) for s in fs.listStatus(at)]
+        return sorted({n[0] for n in names if len(n) == 2 and n[1] in (self.format, "log") and n[0][:1] not in "._"})
 
     def frame(self, table: str) -> DataFrame:
         return self.spark.read.format(self.format).options(**self.options).load(self._path(table))
@@ -54,7 +53,8 @@ class Reader:
         return out
 
     def _has(self, table: str, ext: str) -> bool:
-        return os.path.exists(f"{self.root}/{table}.{ext}".removeprefix("file://"))
+        fs, at = file_system(self.spark, f"{self.root}/{table}.{ext}")
+        return fs.exists(at)
 
     def sample(self, table: str, rows: int = 10) -> DataFrame:
         """A connection test: a few rows."""
