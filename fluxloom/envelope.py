@@ -44,7 +44,7 @@ def changes_of(df: DataFrame, seq: Column, op: Column | str = "op", ts: Column |
     )
 
 
-def change_log_from(df: DataFrame, key: Sequence[str], order: Sequence[str], src: str, deletes: Column, ts: Column, salt: int | None = None) -> DataFrame:
+def change_log_from(df: DataFrame, key: Sequence[str], order: Sequence[str], src: str, deletes: Column, ts: Column) -> DataFrame:
     """A change log out of successive states of keyed rows: first i, then u with the state before, d where ``deletes``
     holds (and i again after it)."""
     w = Window.partitionBy(*key).orderBy(*order)

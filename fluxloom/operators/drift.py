@@ -15,7 +15,6 @@ on (version, record), so a file with a third of all rows is spread like any othe
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pandas as pd

@@ -1,8 +1,9 @@
 """Target tables on a shared file system.
 
 An upsert table is a log of keyed steps (key, ``_seq``, ``_alive``, row) in parts,
-merged when it is read and compacted now and then: a batch costs its own size, not
-the table's.  A part becomes visible with the manifest that names it, which is put
+merged when it is read and compacted in tiers: ``compact_after`` parts of a tier become
+one of the next, so a row is rewritten once a tier and a batch costs about its own
+size, not the table's.  A part becomes visible with the manifest that names it, which is put
 in place by one rename; a batch that is already in the manifest is not applied
 again, so replays change nothing.
 """
@@ -67,17 +68,21 @@ class UpsertTable:
         held, state = self.manifest.load()
         if batch is not None and batch <= state["batches"].get(stream, -1):
             return False
-        part = f"part-{uuid.uuid4().hex}"
-        self._collapsed(self._flat(steps)).write.option("compression", "zstd").parquet(f"{self.path}/{part}")
-        parts = [*state["parts"], part]
-        if len(parts) > self.compact_after:  # a snapshot's rows carry the lowest order, so merging parts in any grouping is exact
-            whole = f"part-{uuid.uuid4().hex}"
-            self._collapsed(self._read(parts)).write.option("compression", "zstd").parquet(f"{self.path}/{whole}")
-            parts = [whole]
+        parts = [*state["parts"], self._write(self._flat(steps), 0)]
+        level = 0
+        while len(tier := [p for p in parts if p.startswith(f"part-{level}-")]) > self.compact_after:
+            # order lies in the rows, so merging parts in any grouping is exact
+            parts = [p for p in parts if p not in tier] + [self._write(self._read(tier), level + 1)]
+            level += 1
         batches = {**state["batches"], **({stream: batch} if batch is not None else {})}
         self.manifest.commit(held, {"parts": parts, "batches": batches})
         return True
 
+    def _write(self, flat: DataFrame, level: int) -> str:
+        part = f"part-{level}-{uuid.uuid4().hex}"
+        self._collapsed(flat).write.option("compression", "zstd").parquet(f"{self.path}/{part}")
+        return part
+
     def _read(self, parts: Sequence[str]) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{p}" for p in parts])
 

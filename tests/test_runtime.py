@@ -116,6 +116,10 @@ def test_upsert_table_is_idempotent_and_compacts(spark, tmp_path):
     t.apply(steps((2, 5, False, None)), 1)
     t.apply(steps((2, 3, True, "late"), (3, 3, True, "c")), 2)  # older than the end of 2
     assert rows(t.read()) == [(1, "a"), (3, "c")]
+    for n in range(3, 12):
+        t.apply(steps((n, n, True, str(n)), (1, 2, True, "older" if n > 3 else "newer")), n)
+    parts = t.manifest.load()[1]["parts"]
+    assert len(parts) <= 5 and {p.split("-")[1] for p in parts} >= {"1", "2"} and t.read().count() == 10
     a = AppendTable(spark, f"{tmp_path}/a")
     assert a.apply(spark.range(2), 0) and not a.apply(spark.range(2), 0) and a.read().count() == 2
 
