@@ -1,10 +1,11 @@
 """Subjects of a document, by class-association rules.
 
 A document is cut into segments (sentences, without code blocks).  From labelled
-segments, parallel frequent-pattern growth mines rules "these words -> subject"
-with one or two words on the left.  A rule with two words stays only if it says
-clearly more than each of its words alone.  Confidences are taken over subjects
-of equal weight and smoothed, which makes them log-evidence that adds up.
+segments, rules "these words -> subject" with one or two words on the left are
+mined: every word and every pair of words of a whole segment is counted.  A rule
+with two words stays only if it says clearly more than each of its words alone.
+Confidences are taken over subjects of equal weight and smoothed, which makes
+them log-evidence that adds up.
 
 Rules are mined twice: from the hand-labelled documents, and again from corpus
 segments that the first rules label with confidence, so words too rare among the
@@ -23,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +37,6 @@ _WORD = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Settings:
     segment_words: int = 20  # longer sentences are cut
-    pattern_words: int = 6  # words of a segment that are mined together; longer lists are cut
     label_support: int = 2  # segments that must carry a rule mined from hand labels
     corpus_support: int = 5  # the same, from the corpus
     word_share: float = 0.2  # least share of a word's best subject for it to be mined at all, and at least 1.3 times chance
@@ -167,27 +166,29 @@ def mine(labelled: DataFrame, subjects: list[str], support: int, s: Settings) ->
     if not words:
         return Rules(subjects, {}, {})
     spark = labelled.sparkSession
-    vocabulary = spark.sparkContext.broadcast(frozenset(words))
+    ordered = sorted(words)
+    vocabulary = spark.sparkContext.broadcast({w: i for i, w in enumerate(ordered)})
 
-    def transactions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every two vocabulary words of a segment, counted per batch; a pair is the places of both words in one number."""
+        at = vocabulary.value.get
         for b in batches:
-            out = []
+            parts: dict[str, list[np.ndarray]] = {}
             for seg, c in zip(b["words"], b["subject"]):
-                w = sorted({x for x in seg if x in vocabulary.value})
-                out += [[*w[i : i + s.pattern_words], f"={c}"] for i in range(0, len(w), s.pattern_words)]
-            yield pd.DataFrame({"items": out})
-
-    baskets = materialize(labelled.mapInPandas(transactions, "items array<string>"), "baskets")
-    n = baskets.count()
-    grown = FPGrowth(minSupport=min(1.0, support / max(n, 1)), minConfidence=1.0, numPartitions=spark.sparkContext.defaultParallelism * 2).fit(baskets).freqItemsets
-    two = grown.where(F.size("items") == 3).select(F.array_sort("items").alias("i"), F.col("freq").alias("n"))
-    two = two.where(F.substring(F.col("i")[0], 1, 1) == "=").where(F.substring(F.col("i")[1], 1, 1) != "=")
-    two = two.select(F.expr("substring(i[0], 2)").alias("subject"), F.concat_ws(" ", F.col("i")[1], F.col("i")[2]).alias("p"), "n")
+                w = np.array(sorted({i for x in seg if (i := at(x)) is not None}), dtype=np.int64)
+                if len(w) > 1:
+                    i, j = np.triu_indices(len(w), 1)
+                    parts.setdefault(c, []).append(w[i] << 32 | w[j])
+            for c, codes in parts.items():
+                p, n = np.unique(np.concatenate(codes), return_counts=True)
+                yield pd.DataFrame({"subject": c, "p": p, "n": n})
+
+    two = labelled.mapInPandas(pairs_of, "subject string, p bigint, n bigint").groupBy("p", "subject").agg(F.sum("n").alias("n"))
     found, counts = table(two, "p", s.max_pairs)
     alone = dict(zip(words, conf))
     pairs = {}
     for p, c, low in zip(found, _smoothed(counts, total), _lower(counts, total)):
-        a, b = p.split(" ")
+        a, b = ordered[p >> 32], ordered[p & 0xFFFFFFFF]
         k = int(c.argmax())
         if low >= sure and c[k] >= confidence and c[k] >= max(alone[a][k], alone[b][k]) + s.gain:  # else the shorter rule says as much
             pairs[a, b] = np.log(c * len(subjects))

@@ -54,6 +54,14 @@ def test_held_out_documents_get_their_subjects(spark):
     assert subjects.assign(d.limit(0), t, areas).count() == subjects.assign(d, t.limit(0), areas).count() == subjects.assign(d, t, areas.limit(0)).count() == 0
 
 
+def test_pairs_are_counted_over_whole_segments(spark):
+    """Two words make a pair however many words of the segment stand between them in the alphabet."""
+    between = [f"m{i}" for i in range(10)]
+    lines = [(["zulu", *between, "alpha"], "a")] * 30 + [(["alpha", "x"], "b")] * 30 + [(["y", "zulu"], "c")] * 30 + [([f"w{c}"], c) for c in "def" for _ in range(42)]
+    got = subjects.mine(spark.createDataFrame(lines, "words array<string>, subject string"), list("abcdef"), 2, subjects.Settings())
+    assert ("alpha", "zulu") in got.pairs and int(got.pairs["alpha", "zulu"].argmax()) == 0
+
+
 def test_a_pair_stands_in_for_its_words():
     e = lambda *x: np.log(np.array(x))
     r = subjects.Rules(["a", "b"], {"season": e(1.2, 0.8), "onion": e(1.9, 0.1), "umpire": e(0.1, 1.9)}, {("season", "umpire"): e(0.05, 1.95)})
