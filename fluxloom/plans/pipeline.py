@@ -32,6 +32,8 @@ class Branch:
     key: tuple[str, ...] = ()
     present: frozenset[str] = frozenset()
     rerouted: bool = False  # a step may have changed src
+    path: str = ""  # the steps it came through
+    id: str = ""  # its own name in an output: source, steps, table, and place among equals
 
     def state(self) -> DataFrame:
         """The rows alive, with ``_seq``; without a key every event is a row."""
@@ -192,6 +194,17 @@ def _step(body: dict, inputs: dict[str, list[Branch]], policy: str, dead: list[D
     return [each(b) for b in flow]
 
 
+def _named(branches: list[Branch]) -> list[Branch]:
+    """The branches of an output under names that tell them apart and stay the same from run to run."""
+    met: dict[str, int] = {}
+    out = []
+    for b in branches:
+        name = f"{b.source}+{b.path}+{b.table}"
+        met[name] = met.get(name, 0) + 1
+        out.append(replace(b, id=f"{name}+{met[name]}"))
+    return out
+
+
 def build(ws: Workspace, pipeline: str, readers: Mapping[str, Reader], stream: bool = False, files_per_trigger: int | None = None) -> Plan:
     """The plan of a pipeline; nothing runs.  ``stream``: over the tails alone, as streaming DataFrames."""
     p = ws.by_id.get(pipeline)
@@ -207,17 +220,17 @@ def build(ws: Workspace, pipeline: str, readers: Mapping[str, Reader], stream: b
         body = _with(ws, step)
         refs = body["from"].items() if isinstance(body["from"], dict) else enumerate(body["from"])
         inputs = {str(a): resolve(str(r), scans, plan.nodes) for a, r in refs}
-        plan.nodes[step["id"]] = _step(body, inputs, policy, plan.dead, step["id"])
+        plan.nodes[step["id"]] = [replace(b, path=f"{b.path}~{step['id']}") for b in _step(body, inputs, policy, plan.dead, step["id"])]
     view = p.body.get("view")
     if view is not None:
         spec = _with(ws, view)
         key = spec.get("primary_key")
-        inputs_ = [replace(b, key=(key,)) if key else b for b in resolve(view["from"], scans, plan.nodes)]
+        inputs_ = _named([replace(b, key=(key,)) if key else b for b in resolve(view["from"], scans, plan.nodes)])
         plan.nodes[view["id"]] = inputs_
         plan.outputs.append(Output("view", view["id"], spec, inputs_, policy))
     serve = p.body.get("serve")
     if serve is not None:
-        spec, inputs_ = _with(ws, serve), resolve(serve["from"], scans, plan.nodes)
+        spec, inputs_ = _with(ws, serve), _named(resolve(serve["from"], scans, plan.nodes))
         for part in ("sync", "push"):
             plan.outputs += [Output(part, e["id"], e, inputs_, policy) for e in spec.get(part) or []]
         plan.outputs += [Output("query", f"query_{i + 1}", e, inputs_, policy) for i, e in enumerate(spec.get("query") or [])]

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,14 +56,14 @@ def write_output(spark: SparkSession, out: Output, root: str, batch: int | None
         events = b.events.where(F.col("src") == t) if b.rerouted else b.events
         if out.kind == "push":
             rows = targets.push_json(events, out.spec.get("format"))
-            AppendTable(spark, f"{root}/{out.spec.get('topic') or out.id}").apply(rows, batch, f"{stream}/{t}")
+            AppendTable(spark, f"{root}/{out.spec.get('topic') or out.id}").apply(rows, batch, f"{stream}/{out.id}/{b.id}/{t}")
         else:
             events = targets.apply_ddl_policy(events, out.spec.get("ddl") or ("ignore" if out.kind == "view" else "fail"))
             path = f"{root}/{out.id if out.kind == 'view' else rename.target(t)}"
             if mode == "append" or not b.key:
-                AppendTable(spark, path).apply(targets.append_rows(events), batch, f"{stream}/{t}")
+                AppendTable(spark, path).apply(targets.append_rows(events), batch, f"{stream}/{out.id}/{b.id}/{t}")
             else:
-                UpsertTable(spark, path, b.key).apply(targets.steps_of(events, b.key), batch, f"{stream}/{t}")
+                UpsertTable(spark, path, b.key).apply(targets.steps_of(events, b.key), batch, f"{stream}/{out.id}/{b.id}/{t}")
         taken += events.count()
     return taken
 
@@ -78,6 +79,7 @@ class Pipeline:
         self.spark, self.ws, self.id, self.readers, self.target = spark, ws, pipeline, readers, target.rstrip("/")
         self.seen = Observation()
         self.queries: list[StreamingQuery] = []
+        self._writing = Lock()
         if pipeline not in ws.by_id:
             raise Coded("lifecycle.unknown-pipeline", pipeline=pipeline)
 
@@ -139,25 +141,25 @@ class Pipeline:
         plan = build(self.ws, self.id, {k: _SnapshotOnly(r) for k, r in self.readers.items()})
         for out in plan.outputs:
             if out.kind != "query":
-                self.seen.record_count += write_output(self.spark, out, self._folder(out), 0, "snapshot")
+                self.seen.record_count += write_output(self.spark, out, self._folder(out), 0, f"{self.id}/snapshot")
         for (_, table), n in {(b.source, b.table): b for o in plan.outputs[:1] for b in o.branches if b.source}.items():
             self.seen.snapshot_rows[table] = self.readers[n.source].frame(table).count() if self.readers[n.source]._has(table, self.readers[n.source].format) else 0
 
     def _tail(self, follow: bool, files_per_trigger: int | None) -> None:
-        """One streaming query per output and table; nest, join and view of several tables are recomputed from their
+        """One streaming query per output and branch; nest, join and view of several tables are recomputed from their
         states, which is exact, so they follow the tail by batch."""
         plan = build(self.ws, self.id, self.readers, stream=True, files_per_trigger=files_per_trigger) if self._streams() else None
         for out in plan.outputs if plan else []:
             for b in out.branches if out.kind != "query" else []:
                 if not b.events.isStreaming:
                     continue
-                name = f"{out.id}-{b.table}"
 
-                def each(df: DataFrame, batch: int, out: Output = out, b: Branch = b, name: str = name) -> None:
-                    one = Output(out.kind, out.id, out.spec, [Branch(b.source, b.table, df, b.key, b.present, b.rerouted)], out.error_policy)
-                    self.seen.record_count += write_output(self.spark, one, self._folder(out), batch, f"tail-{name}")
+                def each(df: DataFrame, batch: int, out: Output = out, b: Branch = b) -> None:
+                    one = Output(out.kind, out.id, out.spec, [replace(b, events=df)], out.error_policy)
+                    with self._writing:  # branches may end in one table
+                        self.seen.record_count += write_output(self.spark, one, self._folder(out), batch, f"{self.id}/tail")
 
-                writer = b.events.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.target}/_checkpoints/{self.id}/{name}")
+                writer = b.events.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.target}/_checkpoints/{self.id}/{out.id}-{b.id}")
                 q = (writer if follow else writer.trigger(availableNow=True)).start()
                 if follow:
                     self.queries.append(q)

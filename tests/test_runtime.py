@@ -98,6 +98,22 @@ def test_nest_join_view_and_references(spark, land, tmp_path):
     assert p.start().state == "COMPLETED"
 
 
+@pytest.mark.parametrize("follow", [False, True])
+def test_two_arms_of_a_fan_out_end_in_one_target(spark, land, tmp_path, follow):
+    reader, more = land
+    arms = ["{ id: %s_out, from: orders, type: filter, expr: \"op == 'd' || after.region == '%s'\" }" % (r, r) for r in ("eu", "us")]
+    more(("i", 3, None, (4, "us", 9), "w3", 3), ("i", 4, None, (5, "eu", 8), "w4", 4))
+    p = Pipeline(spark, docs(*arms), "p", {"src": reader}, f"{tmp_path}/out")
+    assert p.start(follow).error_count == 0, p.seen
+    assert p.process_available().error_count == 0, p.seen
+    more(("i", 5, None, (6, "us", 1), "w5", 5), ("i", 6, None, (7, "eu", 2), "w6", 6))
+    p.process_available() if follow else p.start()
+    assert p.status().error_count == 0, p.seen
+    assert rows(p.table("tgt", "ods_orders", ("id",))) == [(1, "eu", 50), (3, "eu", 7), (4, "us", 9), (5, "eu", 8), (6, "us", 1), (7, "eu", 2)]
+    if follow:
+        p.stop()
+
+
 def test_table_filter_and_missing_pipeline(land):
     reader, _ = land
     ws = docs("{ id: s_out, from: src, type: union }", src="tables: [ { name: orders, filter: \"region == 'eu'\", pk: [id] } ]\n", settings="settings: { read_mode: snapshot_only }\n")
