@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from threading import Lock
 
@@ -28,7 +28,7 @@ VERBS = {
 
 @dataclass
 class Observation:
-    """What is known of a run.  ``record_count``: events that reached the targets; ``snapshot_rows``: rows per table."""
+    """What is known of a run.  ``record_count``: events that reached the targets (of nest and join the last result's); ``snapshot_rows``: rows per table."""
 
     state: str = "NEW"
     record_count: int = 0
@@ -45,25 +45,30 @@ def _branch_tables(b: Branch) -> list[str]:
     return sorted(r[0] for r in b.events.select("src").distinct().collect()) if b.rerouted else [b.table]
 
 
-def write_output(spark: SparkSession, out: Output, root: str, batch: int | None = None, stream: str = "") -> int:
-    """Write one sync, push or view under ``root``; the number of events it took."""
+def _writes(spark: SparkSession, out: Output, root: str) -> Iterator[tuple[str, AppendTable | UpsertTable, DataFrame, DataFrame]]:
+    """What a sync, push or view writes under ``root``: a name that stays the same, the table, what it takes, and the events."""
     rename = targets.Rename(**{**(out.spec.get("rename") or {}), "map": dict((out.spec.get("rename") or {}).get("map") or {})})
-    mode, taken = out.spec.get("write_mode") or "upsert", 0
-    work = [(b, t) for b in out.branches for t in _branch_tables(b)]
-    if mode == "append" and batch is not None and len({t for _, t in work}) > 1 and out.spec.get("single_table"):
-        raise Coded("connector.write-failed", detail="append takes one table per batch")
-    for b, t in work:
-        events = b.events.where(F.col("src") == t) if b.rerouted else b.events
+    mode = out.spec.get("write_mode") or "upsert"
+    for b, t in [(b, t) for b in out.branches for t in _branch_tables(b)]:
+        name, events = f"{out.id}/{b.id}/{t}", b.events.where(F.col("src") == t) if b.rerouted else b.events
         if out.kind == "push":
-            rows = targets.push_json(events, out.spec.get("format"))
-            AppendTable(spark, f"{root}/{out.spec.get('topic') or out.id}").apply(rows, batch, f"{stream}/{out.id}/{b.id}/{t}")
+            yield name, AppendTable(spark, f"{root}/{out.spec.get('topic') or out.id}"), targets.push_json(events, out.spec.get("format")), events
         else:
             events = targets.apply_ddl_policy(events, out.spec.get("ddl") or ("ignore" if out.kind == "view" else "fail"))
             path = f"{root}/{out.id if out.kind == 'view' else rename.target(t)}"
             if mode == "append" or not b.key:
-                AppendTable(spark, path).apply(targets.append_rows(events), batch, f"{stream}/{out.id}/{b.id}/{t}")
+                yield name, AppendTable(spark, path), targets.append_rows(events), events
             else:
-                UpsertTable(spark, path, b.key).apply(targets.steps_of(events, b.key), batch, f"{stream}/{out.id}/{b.id}/{t}")
+                yield name, UpsertTable(spark, path, b.key), targets.steps_of(events, b.key), events
+
+
+def write_output(spark: SparkSession, out: Output, root: str, batch: int | None = None, stream: str = "") -> int:
+    """Write one sync, push or view under ``root``; the number of events it took."""
+    if out.spec.get("write_mode") == "append" and batch is not None and out.spec.get("single_table") and len({t for b in out.branches for t in _branch_tables(b)}) > 1:
+        raise Coded("connector.write-failed", detail="append takes one table per batch")
+    taken = 0
+    for name, table, rows, events in _writes(spark, out, root):
+        table.apply(rows, batch, f"{stream}/{name}")
         taken += events.count()
     return taken
 
@@ -127,9 +132,13 @@ class Pipeline:
     def _run(self, follow: bool, files_per_trigger: int | None) -> Observation:
         try:
             settings = self.ws.by_id[self.id].body.get("settings") or {}
-            if settings.get("read_mode") != "cdc_only":
+            if self._stateful():
+                self._recompute()
+                if follow and settings.get("read_mode") != "snapshot_only":
+                    self._follow_recomputing(files_per_trigger)
+            elif settings.get("read_mode") != "cdc_only":
                 self._snapshot()
-            if settings.get("read_mode") != "snapshot_only":
+            if not self._stateful() and settings.get("read_mode") != "snapshot_only":
                 self._tail(follow, files_per_trigger)
             if not self.queries:
                 self.seen.state = "COMPLETED"
@@ -142,13 +151,15 @@ class Pipeline:
         for out in plan.outputs:
             if out.kind != "query":
                 self.seen.record_count += write_output(self.spark, out, self._folder(out), 0, f"{self.id}/snapshot")
+        self._count_snapshot(plan)
+
+    def _count_snapshot(self, plan: Plan) -> None:
         for (_, table), n in {(b.source, b.table): b for o in plan.outputs[:1] for b in o.branches if b.source}.items():
             self.seen.snapshot_rows[table] = self.readers[n.source].frame(table).count() if self.readers[n.source]._has(table, self.readers[n.source].format) else 0
 
     def _tail(self, follow: bool, files_per_trigger: int | None) -> None:
-        """One streaming query per output and branch; nest, join and view of several tables are recomputed from their
-        states, which is exact, so they follow the tail by batch."""
-        plan = build(self.ws, self.id, self.readers, stream=True, files_per_trigger=files_per_trigger) if self._streams() else None
+        """One streaming query per output and branch."""
+        plan = build(self.ws, self.id, self.readers, stream=True, files_per_trigger=files_per_trigger) if self._has_tail() else None
         for out in plan.outputs if plan else []:
             for b in out.branches if out.kind != "query" else []:
                 if not b.events.isStreaming:
@@ -165,19 +176,41 @@ class Pipeline:
                     self.queries.append(q)
                 else:
                     q.awaitTermination()
-        if plan is None and self._has_tail():  # stateful pipelines: from the whole logs
-            whole = build(self.ws, self.id, self.readers)
-            for out in whole.outputs:
-                if out.kind != "query":
-                    write_output(self.spark, out, f"{self._folder(out)}", None)
+
+    def _recompute(self) -> None:
+        """The result of nest and join from the current states, in place of the one before; exact, and one commit a table."""
+        with self._writing:
+            plan = build(self.ws, self.id, self.readers)
+            tables: dict[str, AppendTable | UpsertTable] = {}
+            owned: dict[str, dict[str, DataFrame]] = {}
+            taken = 0
+            for out in plan.outputs:
+                for name, table, rows, events in _writes(self.spark, out, self._folder(out)) if out.kind != "query" else ():
+                    tables.setdefault(table.path, table)
+                    owned.setdefault(table.path, {})[f"{self.id}/{name}"] = rows
+                    taken += events.count()
+            for path, table in tables.items():
+                table.replace(owned[path])
+            self.seen.record_count = taken
+            self._count_snapshot(plan)
+
+    def _follow_recomputing(self, files_per_trigger: int | None) -> None:
+        """Recompute whenever a log has grown; a log's files that are there already are one trigger more, which changes nothing."""
+        for s in self.ws.sources(self.ws.by_id[self.id]):
+            for t in self.readers[s.id].tables():
+                tail = self.readers[s.id].tail_stream(t, files_per_trigger)
+                if tail is None:
+                    continue
+                writer = tail.writeStream.foreachBatch(lambda df, batch: self._recompute())
+                self.queries.append(writer.option("checkpointLocation", f"{self.target}/_checkpoints/{self.id}/recompute-{s.id}-{t}").start())
 
     def _has_tail(self) -> bool:
         return any(r._has(t, "log") for r in self.readers.values() for t in r.tables())
 
-    def _streams(self) -> bool:
+    def _stateful(self) -> bool:
         steps = self.ws.by_id[self.id].body["transforms"]
         kinds = {(self.ws.by_id[s["use"]].body if "use" in s else s)["type"] for s in steps}
-        return self._has_tail() and not kinds & {"nest", "join"}
+        return bool(kinds & {"nest", "join"})
 
     def process_available(self) -> Observation:
         """Wait until the running tail has read all there is now."""

@@ -5,14 +5,15 @@ merged when it is read and compacted in tiers: ``compact_after`` parts of a tier
 one of the next, so a row is rewritten once a tier and a batch costs about its own
 size, not the table's.  A part becomes visible with the manifest that names it, which is put
 in place by one rename; a batch that is already in the manifest is not applied
-again, so replays change nothing.
+again, so replays change nothing.  What is computed anew as a whole has parts of its
+owner's, which a later computation replaces in one manifest.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,10 @@ class _Manifest:
             raise RuntimeError(f"{self.path}: somebody else committed version {held + 1}")
 
 
+def _owned(state: dict) -> list[str]:
+    return [p for parts in state.get("owned", {}).values() for p in parts]
+
+
 class UpsertTable:
     """Rows by key; the last step in ``_seq`` decides, whatever the order the batches came in."""
 
@@ -75,9 +80,15 @@ class UpsertTable:
             parts = [p for p in parts if p not in tier] + [self._write(self._read(tier), level + 1)]
             level += 1
         batches = {**state["batches"], **({stream: batch} if batch is not None else {})}
-        self.manifest.commit(held, {"parts": parts, "batches": batches})
+        self.manifest.commit(held, {**state, "parts": parts, "batches": batches})
         return True
 
+    def replace(self, owned: Mapping[str, DataFrame]) -> None:
+        """Put steps in place of what their owners gave before, all in one commit."""
+        parts = {owner: [self._write(self._flat(steps), 0)] for owner, steps in owned.items()}
+        held, state = self.manifest.load()
+        self.manifest.commit(held, {**state, "owned": {**state.get("owned", {}), **parts}})
+
     def _write(self, flat: DataFrame, level: int) -> str:
         part = f"part-{level}-{uuid.uuid4().hex}"
         self._collapsed(flat).write.option("compression", "zstd").parquet(f"{self.path}/{part}")
@@ -93,9 +104,10 @@ class UpsertTable:
 
     def read(self) -> DataFrame | None:
         _, state = self.manifest.load()
-        if not state["parts"]:
+        parts = [*state["parts"], *_owned(state)]
+        if not parts:
             return None
-        return self._collapsed(self._read(state["parts"])).where("_alive").drop("_seq", "_alive")
+        return self._collapsed(self._read(parts)).where("_alive").drop("_seq", "_alive")
 
 
 class AppendTable:
@@ -108,13 +120,24 @@ class AppendTable:
         held, state = self.manifest.load()
         if batch is not None and batch <= state["batches"].get(stream, -1):
             return False
+        part = self._write(rows)
+        self.manifest.commit(held, {**state, "parts": [*state["parts"], part], "batches": {**state["batches"], **({stream: batch} if batch is not None else {})}})
+        return True
+
+    def replace(self, owned: Mapping[str, DataFrame]) -> None:
+        """Put rows in place of what their owners gave before, all in one commit."""
+        parts = {owner: [self._write(rows)] for owner, rows in owned.items()}
+        held, state = self.manifest.load()
+        self.manifest.commit(held, {**state, "owned": {**state.get("owned", {}), **parts}})
+
+    def _write(self, rows: DataFrame) -> str:
         part = f"part-{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(f"{self.path}/{part}")
-        self.manifest.commit(held, {"parts": [*state["parts"], part], "batches": {**state["batches"], **({stream: batch} if batch is not None else {})}})
-        return True
+        return part
 
     def read(self) -> DataFrame | None:
         _, state = self.manifest.load()
-        if not state["parts"]:
+        parts = [*state["parts"], *_owned(state)]
+        if not parts:
             return None
-        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{p}" for p in state["parts"]])
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.path}/{p}" for p in parts])

@@ -98,6 +98,23 @@ def test_nest_join_view_and_references(spark, land, tmp_path):
     assert p.start().state == "COMPLETED"
 
 
+@pytest.mark.parametrize("follow", [False, True])
+def test_recomputed_results_replace_the_target(spark, land, tmp_path, follow):
+    reader, more = land
+    ws = docs("{ id: agg_out, type: join, from: { o: src.orders }, engine: spark, sql: 'SELECT region, sum(qty) AS q FROM o GROUP BY region' }", "{ id: n_out, type: nest, from: { o: orders, a: agg_out }, root: { from: o, key: [id], embed: [ { from: a, on: { region: region }, as: object, path: total } ] } }")
+    p = Pipeline(spark, ws, "p", {"src": reader}, f"{tmp_path}/out")
+    nested = lambda: rows(p.table("tgt", "ods_n_out", ("id",)).selectExpr("id", "total.q"))
+    assert p.start(follow).state == ("RUNNING" if follow else "COMPLETED"), p.seen
+    p.process_available()
+    assert nested() == [(1, 57), (3, 57)] and rows(p.table("tgt", "ods_agg_out")) == [("eu", 57)]  # 2 is deleted in the log
+    more(("d", 3, (3, "eu", 7), None, "w3", 3), ("i", 4, None, (4, "us", 9), "w4", 4))
+    p.process_available() if follow else p.start()
+    assert p.status().error_count == 0, p.seen
+    assert nested() == [(1, 50), (4, 9)] and rows(p.table("tgt", "ods_agg_out")) == [("eu", 50), ("us", 9)]
+    if follow:
+        assert p.stop().state == "STOPPED"
+
+
 @pytest.mark.parametrize("follow", [False, True])
 def test_two_arms_of_a_fan_out_end_in_one_target(spark, land, tmp_path, follow):
     reader, more = land
