@@ -60,6 +60,7 @@ class Plan:
     nodes: dict[str, list[Branch]]
     outputs: list[Output] = field(default_factory=list)
     dead: list[DataFrame] = field(default_factory=list)
+    dead_of: list[Branch] = field(default_factory=list)  # the branch each of them fell out of; its id says where
 
     def view(self, name: str) -> DataFrame:
         """Rows of the view: what a pull surface serves."""
@@ -79,7 +80,7 @@ def _with(ws: Workspace, block: dict) -> dict:
     return {**ws.by_id[block["use"]].body, **{k: v for k, v in block.items() if k != "use" and v is not None}} if "use" in block else block
 
 
-def _scan(ws: Workspace, p: Resource, readers: Mapping[str, Reader], settings: dict, stream: bool, files_per_trigger: int | None) -> dict[tuple[str, str], Branch]:
+def _scan(ws: Workspace, p: Resource, readers: Mapping[str, Reader], settings: dict, stream: bool, files_per_trigger: int | None, starts: Mapping[str, int]) -> dict[tuple[str, str], Branch]:
     out: dict[tuple[str, str], Branch] = {}
     for s in ws.sources(p):
         reader, srs = readers[s.id], s.body.get("srs") or {}
@@ -94,7 +95,9 @@ def _scan(ws: Workspace, p: Resource, readers: Mapping[str, Reader], settings: d
                 tail = reader.tail_stream(spec.name, files_per_trigger) if stream else reader.tail(spec.name)
             if stream and tail is None:
                 continue
-            if tail is not None and not stream:
+            if tail is not None and (first := starts.get(f"{s.id}.{spec.name}")) is not None:
+                tail = tail.where(F.col("_seq") >= first)
+            elif tail is not None and not stream:
                 tail = sel.start_from(tail, settings.get("start_from") or "earliest")
             parts = [x for x in (snap, tail) if x is not None]
             if not parts:
@@ -162,7 +165,7 @@ def _step(body: dict, inputs: dict[str, list[Branch]], policy: str, dead: list[D
         return flow
     if kind == "filter":
         if policy == "dead_letter":
-            dead += [rows.failed_rows(b.events, body["expr"]).select("op", "ts", "src", "src_pos", "_seq", "_error") for b in flow]
+            dead += [rows.failed_rows(b.events, body["expr"]).select("op", "ts", "src", F.to_json("before").alias("before"), F.to_json("after").alias("after"), "src_pos", "_seq", "_error") for b in flow]
         each = lambda b: replace(b, events=rows.filter_rows(b.events, body["expr"], b.present, policy))
     elif kind == "map":
 
@@ -205,8 +208,9 @@ def _named(branches: list[Branch]) -> list[Branch]:
     return out
 
 
-def build(ws: Workspace, pipeline: str, readers: Mapping[str, Reader], stream: bool = False, files_per_trigger: int | None = None) -> Plan:
-    """The plan of a pipeline; nothing runs.  ``stream``: over the tails alone, as streaming DataFrames."""
+def build(ws: Workspace, pipeline: str, readers: Mapping[str, Reader], stream: bool = False, files_per_trigger: int | None = None, starts: Mapping[str, int] | None = None) -> Plan:
+    """The plan of a pipeline; nothing runs.  ``stream``: over the tails alone, as streaming DataFrames.  ``starts``: the
+    first ``_seq`` of a tail by source.table, where a run has resolved it; else a batch plan takes ``start_from``."""
     p = ws.by_id.get(pipeline)
     if p is None:
         raise Coded("actuation.pipeline-not-found", pipeline=pipeline)
@@ -214,12 +218,14 @@ def build(ws: Workspace, pipeline: str, readers: Mapping[str, Reader], stream: b
         raise Coded("actuation.not-a-pipeline", pipeline=pipeline)
     settings = p.body.get("settings") or {}
     policy = settings.get("error_policy") or "fail"
-    scans = _scan(ws, p, readers, settings, stream, files_per_trigger)
+    scans = _scan(ws, p, readers, settings, stream, files_per_trigger, starts or {})
     plan = Plan(p, {})
     for step in p.body["transforms"]:
         body = _with(ws, step)
         refs = body["from"].items() if isinstance(body["from"], dict) else enumerate(body["from"])
         inputs = {str(a): resolve(str(r), scans, plan.nodes) for a, r in refs}
+        if policy == "dead_letter" and body["type"] == "filter":
+            plan.dead_of += [replace(b, id=f"{step['id']}+{b.id}") for b in _named([b for bs in inputs.values() for b in bs])]
         plan.nodes[step["id"]] = [replace(b, path=f"{b.path}~{step['id']}") for b in _step(body, inputs, policy, plan.dead, step["id"])]
     view = p.body.get("view")
     if view is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from threading import Lock
 
@@ -13,9 +13,10 @@ from pyspark.sql.streaming import StreamingQuery
 from fluxloom.errors import Coded, first_code, one_line
 from fluxloom.operators import targets
 from fluxloom.plans.pipeline import Branch, Output, Plan, build
+from fluxloom.sources import tables as sel
 from fluxloom.sources.readers import Reader
 from fluxloom.spec import Workspace, content_hash
-from fluxloom.streaming.tables import AppendTable, UpsertTable
+from fluxloom.streaming.tables import AppendTable, Manifest, UpsertTable
 
 #: From which states a verb is legal, and where it leads.
 VERBS = {
@@ -28,7 +29,8 @@ VERBS = {
 
 @dataclass
 class Observation:
-    """What is known of a run.  ``record_count``: events that reached the targets (of nest and join the last result's); ``snapshot_rows``: rows per table."""
+    """What is known of a run.  ``record_count``: events that reached the targets (of nest and join the last result's);
+    ``error_count``: events in the dead-letter table, and the failure; ``snapshot_rows``: rows per table."""
 
     state: str = "NEW"
     record_count: int = 0
@@ -125,13 +127,14 @@ class Pipeline:
 
     def _fail(self, error: BaseException) -> Observation:
         self._halt()
-        self.seen.state, self.seen.error_count = "FAILED", 1
+        self.seen.state, self.seen.error_count = "FAILED", self.seen.error_count + 1
         self.seen.error_code, self.seen.error_detail = first_code(error), one_line(error)
         return self.seen
 
     def _run(self, follow: bool, files_per_trigger: int | None) -> Observation:
         try:
             settings = self.ws.by_id[self.id].body.get("settings") or {}
+            self._starts()
             if self._stateful():
                 self._recompute()
                 if follow and settings.get("read_mode") != "snapshot_only":
@@ -151,36 +154,96 @@ class Pipeline:
         for out in plan.outputs:
             if out.kind != "query":
                 self.seen.record_count += write_output(self.spark, out, self._folder(out), 0, f"{self.id}/snapshot")
+        for b, dead in zip(plan.dead_of, plan.dead):
+            self._bury(b, dead, 0, "snapshot")
         self._count_snapshot(plan)
 
+    def _dead(self) -> AppendTable:
+        return AppendTable(self.spark, f"{self.target}/_dead/{self.id}")
+
+    def _bury(self, b: Branch, dead: DataFrame, batch: int, stream: str) -> None:
+        """Keep the events a filter failed on, and count them once."""
+        n = dead.count()
+        if n and self._dead().apply(dead, batch, f"{stream}/{b.id}"):
+            self.seen.error_count += n
+
+    def dead_letters(self) -> DataFrame | None:
+        """The events on which a filter failed under ``error_policy: dead_letter``."""
+        return self._dead().read()
+
+    def _starts(self) -> dict[str, int]:
+        """First ``_seq`` of every tail under ``start_from``, resolved once and kept beside the checkpoints; a tail whose
+        instant has not come yet has none."""
+        start = (self.ws.by_id[self.id].body.get("settings") or {}).get("start_from") or "earliest"
+        if start == "earliest":
+            return {}
+        kept = Manifest(self.spark, f"{self.target}/_checkpoints/{self.id}/starts")
+        held, state = kept.load()
+        known = state.get("starts", {})
+        fresh = dict(known)
+        for s in self.ws.sources(self.ws.by_id[self.id]):
+            for t in self.readers[s.id].tables():
+                tail = None if f"{s.id}.{t}" in known else self.readers[s.id].tail(t)
+                if tail is None:
+                    continue
+                if start == "latest":
+                    last = tail.agg(F.max("_seq")).first()[0]
+                    fresh[f"{s.id}.{t}"] = -(2**63) if last is None else last + 1
+                elif (first := sel.start_from(tail, start).agg(F.min("_seq")).first()[0]) is not None:
+                    fresh[f"{s.id}.{t}"] = first
+        if fresh != known:
+            kept.commit(held, {"starts": fresh})
+        return fresh
+
+    def _started(self, b: Branch, df: DataFrame, starts: Mapping[str, int]) -> DataFrame:
+        """A micro-batch from the start position on, where the plan could not know it yet."""
+        start = (self.ws.by_id[self.id].body.get("settings") or {}).get("start_from") or "earliest"
+        if start == "earliest" or f"{b.source}.{b.table}" in starts:
+            return df
+        first = self._starts().get(f"{b.source}.{b.table}")
+        return df.where(F.lit(False) if first is None else F.col("_seq") >= first)
+
     def _count_snapshot(self, plan: Plan) -> None:
         for (_, table), n in {(b.source, b.table): b for o in plan.outputs[:1] for b in o.branches if b.source}.items():
             self.seen.snapshot_rows[table] = self.readers[n.source].frame(table).count() if self.readers[n.source]._has(table, self.readers[n.source].format) else 0
 
     def _tail(self, follow: bool, files_per_trigger: int | None) -> None:
         """One streaming query per output and branch."""
-        plan = build(self.ws, self.id, self.readers, stream=True, files_per_trigger=files_per_trigger) if self._has_tail() else None
+        starts = self._starts()
+        plan = build(self.ws, self.id, self.readers, stream=True, files_per_trigger=files_per_trigger, starts=starts) if self._has_tail() else None
         for out in plan.outputs if plan else []:
             for b in out.branches if out.kind != "query" else []:
                 if not b.events.isStreaming:
                     continue
 
                 def each(df: DataFrame, batch: int, out: Output = out, b: Branch = b) -> None:
-                    one = Output(out.kind, out.id, out.spec, [replace(b, events=df)], out.error_policy)
                     with self._writing:  # branches may end in one table
+                        one = Output(out.kind, out.id, out.spec, [replace(b, events=self._started(b, df, starts))], out.error_policy)
                         self.seen.record_count += write_output(self.spark, one, self._folder(out), batch, f"{self.id}/tail")
 
-                writer = b.events.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.target}/_checkpoints/{self.id}/{out.id}-{b.id}")
-                q = (writer if follow else writer.trigger(availableNow=True)).start()
-                if follow:
-                    self.queries.append(q)
-                else:
-                    q.awaitTermination()
+                self._run_stream(b.events, each, f"{out.id}-{b.id}", follow)
+        for b, dead in zip(plan.dead_of, plan.dead) if plan else ():
+            if not dead.isStreaming:
+                continue
+
+            def bury(df: DataFrame, batch: int, b: Branch = b) -> None:
+                with self._writing:
+                    self._bury(b, self._started(b, df, starts), batch, "tail")
+
+            self._run_stream(dead, bury, f"dead-{b.id}", follow)
+
+    def _run_stream(self, events: DataFrame, each: Callable[[DataFrame, int], None], name: str, follow: bool) -> None:
+        writer = events.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.target}/_checkpoints/{self.id}/{name}")
+        q = (writer if follow else writer.trigger(availableNow=True)).start()
+        if follow:
+            self.queries.append(q)
+        else:
+            q.awaitTermination()
 
     def _recompute(self) -> None:
         """The result of nest and join from the current states, in place of the one before; exact, and one commit a table."""
         with self._writing:
-            plan = build(self.ws, self.id, self.readers)
+            plan = build(self.ws, self.id, self.readers, starts=self._starts())
             tables: dict[str, AppendTable | UpsertTable] = {}
             owned: dict[str, dict[str, DataFrame]] = {}
             taken = 0
@@ -191,7 +254,9 @@ class Pipeline:
                     taken += events.count()
             for path, table in tables.items():
                 table.replace(owned[path])
-            self.seen.record_count = taken
+            if plan.dead:
+                self._dead().replace({b.id: dead for b, dead in zip(plan.dead_of, plan.dead)})
+            self.seen.record_count, self.seen.error_count = taken, sum(dead.count() for dead in plan.dead)
             self._count_snapshot(plan)
 
     def _follow_recomputing(self, files_per_trigger: int | None) -> None:
@@ -201,8 +266,7 @@ class Pipeline:
                 tail = self.readers[s.id].tail_stream(t, files_per_trigger)
                 if tail is None:
                     continue
-                writer = tail.writeStream.foreachBatch(lambda df, batch: self._recompute())
-                self.queries.append(writer.option("checkpointLocation", f"{self.target}/_checkpoints/{self.id}/recompute-{s.id}-{t}").start())
+                self._run_stream(tail, lambda df, batch: self._recompute(), f"recompute-{s.id}-{t}", True)
 
     def _has_tail(self) -> bool:
         return any(r._has(t, "log") for r in self.readers.values() for t in r.tables())

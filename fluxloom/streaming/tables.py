@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from fluxloom.storage import file_system
 
 
-class _Manifest:
+class Manifest:
     """Versioned list of parts and batches under a folder."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -62,7 +62,7 @@ class UpsertTable:
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], compact_after: int = 8):
         self.spark, self.path, self.keys, self.compact_after = spark, path.rstrip("/"), list(keys), compact_after
-        self.manifest = _Manifest(spark, path)
+        self.manifest = Manifest(spark, path)
 
     def _flat(self, steps: DataFrame) -> DataFrame:
         cols = [c for c in steps.schema["row"].dataType.names if c not in self.keys]
@@ -114,7 +114,7 @@ class AppendTable:
     """Every row of every batch, once."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.manifest = spark, path.rstrip("/"), _Manifest(spark, path)
+        self.spark, self.path, self.manifest = spark, path.rstrip("/"), Manifest(spark, path)
 
     def apply(self, rows: DataFrame, batch: int | None = None, stream: str = "") -> bool:
         held, state = self.manifest.load()

@@ -115,6 +115,28 @@ def test_recomputed_results_replace_the_target(spark, land, tmp_path, follow):
         assert p.stop().state == "STOPPED"
 
 
+def test_dead_letters_of_a_run_are_kept_and_counted(spark, land, tmp_path):
+    reader, more = land
+    ws = docs("{ id: s_out, from: orders, type: filter, expr: 'after.qty / (after.qty - 5) > 0' }", settings="settings: { error_policy: dead_letter }\n")
+    p = Pipeline(spark, ws, "p", {"src": reader}, f"{tmp_path}/out")
+    seen = p.start()  # the row with qty 5 in the snapshot, the delete without an after in the log
+    assert (seen.state, seen.error_count) == ("COMPLETED", 2), seen
+    assert rows(p.dead_letters().select("op", "_seq")) == [("d", 2), ("r", 0)] and rows(p.dead_letters().where("op = 'r'").selectExpr("get_json_object(after, '$.id')")) == [("1",)]
+    more(("i", 3, None, (4, "us", 5), "w3", 3))
+    assert p.start().error_count == 1 and p.dead_letters().count() == 3
+
+
+@pytest.mark.parametrize("start, want, later", [("latest", [(1, 5), (2, 6), (3, 7)], [(1, 5), (2, 6), (3, 7), (4, 9)]), ("1970-01-01T00:00:00.002Z", [(1, 5), (3, 7)], [(1, 5), (3, 7), (4, 9)]), ("1970-01-01T00:00:00.003Z", [(1, 5), (2, 6), (3, 7)], [(1, 5), (2, 6), (3, 7), (4, 9)])])
+def test_the_tail_starts_where_it_is_told_to(spark, land, tmp_path, start, want, later):
+    reader, more = land
+    p = Pipeline(spark, docs("{ id: s_out, from: orders, type: map, fields: { region: false } }", settings=f"settings: {{ start_from: '{start}' }}\n"), "p", {"src": reader}, f"{tmp_path}/out")
+    assert p.start().state == "COMPLETED", p.seen
+    assert rows(p.table("tgt", "ods_orders", ("id",))) == want
+    more(("i", 3, None, (4, "us", 9), "w3", 3))
+    assert p.start().state == "COMPLETED", p.seen
+    assert rows(p.table("tgt", "ods_orders", ("id",))) == later
+
+
 @pytest.mark.parametrize("follow", [False, True])
 def test_two_arms_of_a_fan_out_end_in_one_target(spark, land, tmp_path, follow):
     reader, more = land
