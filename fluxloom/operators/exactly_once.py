@@ -68,12 +68,17 @@ class SeenBits:
 
 
 def encode(df: DataFrame, namespace: Sequence[Column], ordinal: Column, arrival: Column) -> DataFrame:
-    """Rows as (``n0..``, ``shard``, ``bit``, ``arrival``); rows without an ordinal have no identifier and are left out."""
+    """Rows as (``n0..``, ``shard``, ``bit``, ``arrival``); rows without an ordinal have no identifier and are left to ``unidentified``."""
     cols = [c.cast("string").alias(f"n{i}") for i, c in enumerate(namespace)]
     number = ordinal.cast("bigint")
     return df.select(*cols, number.alias("_o"), arrival.alias("arrival")).where("_o is not null and arrival is not null").select(*[f"n{i}" for i in range(len(cols))], shard_of(F.col("_o")).alias("shard"), bit_of(F.col("_o")).alias("bit"), "arrival")
 
 
+def unidentified(df: DataFrame, feed: Column, ordinal: Column, arrival: Column) -> DataFrame:
+    """(``n0``, ``arrival``) of the rows without an ordinal: never copies of anything, so each comes out."""
+    return df.where(ordinal.cast("bigint").isNull() & arrival.isNotNull()).select(feed.cast("string").alias("n0"), arrival.alias("arrival"))
+
+
 def take_unseen(batch: DataFrame, seen: SeenBits) -> DataFrame:
     """Winners of an encoded batch: the smallest arrival of every identifier whose bit is not set.  Commits their bits."""
     keys = [*seen.names, "shard"]

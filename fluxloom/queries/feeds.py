@@ -18,34 +18,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 _ORDINAL_DIGITS = 15
 
 
-def _identified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both feeds as encoded rows under their name; what carries no identifier is left out."""
+def _identified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both feeds as encoded rows under their name, and the arrivals of what carries no identifier."""
     high = lambda d: F.when(F.length(d) <= _ORDINAL_DIGITS, "").otherwise(F.expr(f"substring(_digits, 1, length(_digits) - {_ORDINAL_DIGITS})"))
     low = F.expr(f"cast(right(_digits, {_ORDINAL_DIGITS}) as bigint)")
     log = read(spark, sf_dir, "change_log").select("delivery_id", "chain_id", plain(F.col("src")).alias("src"), plain(F.col("op")).eqNullSafe("r").alias("snapshot"), position_digits(F.col("src_pos")).alias("_digits"), F.col("after_row.id").alias("row"))
     snapshot = F.col("snapshot")
+    number = F.when(snapshot, F.col("row")).otherwise(low)
     messages = exactly_once.encode(
         log, [F.lit("change_log"), F.col("chain_id"), F.col("src"), F.when(snapshot, "row").otherwise("position"), F.when(snapshot, "").otherwise(high(F.col("_digits")))],
-        F.when(snapshot, F.col("row")).otherwise(low), F.col("delivery_id"),
+        number, F.col("delivery_id"),
     )
     offsets = read(spark, sf_dir, "consumer_offset").select("offset_id", "pipeline_id", position_digits(F.col("sink_acked_srcpos")).alias("_digits"))
     checkpoints = exactly_once.encode(offsets, [F.lit("consumer_offset"), F.col("pipeline_id"), F.lit(""), F.lit("position"), high(F.col("_digits"))], low, F.col("offset_id"))
-    return messages.unionByName(checkpoints)
+    others = exactly_once.unidentified(log, F.lit("change_log"), number, F.col("delivery_id")).unionByName(exactly_once.unidentified(offsets, F.lit("consumer_offset"), low, F.col("offset_id")))
+    return messages.unionByName(checkpoints), others
 
 
-def _kept(spark: SparkSession, sf_dir: str, batches: int = 2) -> tuple[DataFrame, DataFrame]:
-    rows = _identified(spark, sf_dir)
-    return rows, exactly_once.first_deliveries(exactly_once.arrival_batches(rows, "arrival", batches), spark, len(rows.columns) - 3)
+def _kept(rows: DataFrame, batches: int = 2) -> DataFrame:
+    spark = rows.sparkSession
+    return exactly_once.first_deliveries(exactly_once.arrival_batches(rows, "arrival", batches), spark, len(rows.columns) - 3)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The surplus deliveries: all but the first of the rows that carry the same identifier."""
-    return exactly_once.surplus(*_kept(spark, sf_dir)).select(F.col("n0").alias("source_table"), F.col("arrival").alias("row_id"))
+    rows, _ = _identified(spark, sf_dir)
+    return exactly_once.surplus(rows, _kept(rows)).select(F.col("n0").alias("source_table"), F.col("arrival").alias("row_id"))
 
 
 def p1_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The copies that come out: one arrival per identifier."""
-    return _kept(spark, sf_dir)[1].select(F.col("n0").alias("source_table"), F.col("arrival").alias("row_id"))
+    """The copies that come out: one arrival per identifier, and every row that carries none."""
+    rows, others = _identified(spark, sf_dir)
+    return _kept(rows).unionByName(others).select(F.col("n0").alias("source_table"), F.col("arrival").alias("row_id"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str, batches: int = 2) -> DataFrame:

@@ -120,3 +120,14 @@ def test_hot_joins_agree_whichever_way_they_go(spark, most):
     left, right = spark.range(1000).selectExpr("if(id % 3 = 0, 0L, id) k", "id v"), spark.createDataFrame([(0, "a"), (0, "b"), (7, "c")], "k bigint, w string")
     got = join_hot(left, right, ["k"], F.col("v"), 4, most)
     assert got.count() == 334 * 2 + 1 and got.columns == ["k", "v", "w"]
+
+
+def test_rows_without_an_identifier_come_out(spark, tmp_path):
+    from fluxloom.queries import feeds
+
+    log = [(1, "c", "s", "u", "w1", 1), (2, "c", "S ", "u", " W01", 1), (3, "c", "s", "u", "lost", 1), (4, "c", "s", "u", "lost", 1), (5, "c", "s", "r", None, 7), (6, "c", "s", "R", None, 7), (7, "c", "s", "r", None, None)]
+    spark.createDataFrame([(*x[:5], (x[5],)) for x in log], "delivery_id long, chain_id string, src string, op string, src_pos string, after_row struct<id:long>").write.parquet(f"{tmp_path}/change_log.parquet")
+    spark.createDataFrame([(1, "p", None), (2, "p", None), (3, "p", "w5"), (4, "p", "w5")], "offset_id long, pipeline_id string, sink_acked_srcpos string").write.parquet(f"{tmp_path}/consumer_offset.parquet")
+    kept, found = rows(feeds.p1_kept(spark, str(tmp_path))), rows(feeds.p1_found(spark, str(tmp_path)))
+    assert kept == [("change_log", i) for i in (1, 3, 4, 5, 7)] + [("consumer_offset", i) for i in (1, 2, 3)]
+    assert found == [("change_log", 2), ("change_log", 6), ("consumer_offset", 4)]
