@@ -149,10 +149,18 @@ def append_reforge(spark, sf):
     return targets.append_rows(_change_log(spark, sf)).select("event_id", "user_id", "event_type")
 
 
+def _seam(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The whole state as of the middle of the log, as a snapshot, and the log from a little before that instant."""
+    log = _change_log(spark, sf)
+    lo, hi = log.agg(F.min("_seq"), F.max("_seq")).first()
+    at = ((lo or 0) + (hi or 0)) // 2
+    snap = envelope.snapshot_of(targets.latest(log.where(F.col("_seq") <= at), ["user_id"]), "events", seq=F.lit(0))
+    return snap, log.where(F.col("_seq") > at - ((hi or 0) - (lo or 0)) // 20)
+
+
 def snapshot_cdc_overlap(spark, sf):
     """A snapshot taken in the middle and a tail that begins before it: the upsert absorbs the overlap."""
-    snap = envelope.snapshot_of(read(spark, sf, "events").where("event_id % 3 = 0"), "events", seq=F.lit(0))
-    return targets.latest(rows.union_rows(snap, _change_log(spark, sf)), ["user_id"]).select("user_id", "event_id")
+    return targets.latest(rows.union_rows(*_seam(spark, sf)), ["user_id"]).select("user_id", "event_id")
 
 
 def start_from_instant(spark, sf):

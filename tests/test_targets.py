@@ -142,3 +142,14 @@ def test_connector_sinks():
     c = connectors.Connector
     assert c(frozenset({"write"})).sinks == ("append", "upsert") and c(frozenset({"write", "ignore_on_exists"})).sinks == ("append",) and c().sinks == ()
     assert c(frozenset({"batch_read", "stream_read"})).modes == ("snapshot", "cdc") and c(frozenset({"batch_read"}), ("file",)).modes == ("file",)
+
+
+def test_the_seam_needs_both_sides(spark, tmp_path):
+    from fluxloom.queries import pipelines
+
+    events = [(i, u, k, f"2024-01-01 00:{m:02d}:00") for i, (u, k, m) in enumerate([(1, "view", 0), (2, "view", 1), (3, "view", 2), (3, "error", 3), (4, "view", 29), (2, "error", 40), (1, "view", 59)] + [(5, "view", 4), (6, "view", 59)])]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, at string").selectExpr("event_id", "user_id", "event_type", "cast(at as timestamp_ntz) ts", "1.0D value").write.parquet(f"{tmp_path}/events.parquet")
+    snap, tail = pipelines._seam(spark, str(tmp_path))
+    assert rows(snap.select("after.user_id")) == [(1,), (2,), (4,), (5,)]  # the state at 00:30, whole
+    assert rows(tail.select("after.event_id", "before.event_id")) == [(None, 5), (4, None), (6, 0), (8, None)]
+    assert rows(pipelines.snapshot_cdc_overlap(spark, str(tmp_path))) == [(1, 6), (4, 4), (5, 7), (6, 8)]
