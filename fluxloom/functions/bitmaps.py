@@ -1,29 +1,43 @@
-"""Bitmaps over whole numbers, in containers of 32,768 bits (Spark's own bitmap layout).
+"""Compressed bitmaps over whole numbers, as tables of their nonzero 64-bit words.
 
-A number is addressed by its container (``shard``) and its bit inside it, so a
-set of numbers is a table with one small binary value per occupied container.
+A number is addressed by its word and its bit inside it.  A set of numbers is a
+table with one row (``word``, ``bits``) per occupied word: numbers in a row share
+words, a number on its own costs one row.  Sets are united by ``bit_or``, on
+fixed-length values, so the aggregates stay in generated code.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits in a container, fixed by Spark's bitmap aggregates.
-BITS = 32768
 
+def word_of(number: Column) -> Column:
+    """Word of a whole number; negative numbers have words of their own."""
+    return F.shiftright(number.cast("bigint"), 6)
 
-def shard_of(ordinal: Column) -> Column:
-    """Container of a whole number; negative numbers have containers of their own."""
-    return F.call_function("div", ordinal - bit_of(ordinal), F.lit(BITS).cast("bigint"))
 
+def mask_of(number: Column) -> Column:
+    """The number's bit inside its word."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), number.cast("bigint").bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
 
-def bit_of(ordinal: Column) -> Column:
-    """Bit of a whole number inside its container, 0 to 32767."""
-    return F.pmod(ordinal, F.lit(BITS).cast("bigint"))
 
+def is_set(bits: Column, number: Column) -> Column:
+    """Whether the number's bit is set in its word; false where there is no word."""
+    return F.coalesce(bits.bitwiseAND(mask_of(number)) != 0, F.lit(False))
 
-def is_set(bitmap: Column, bit: Column) -> Column:
-    """Whether ``bit`` is set; false where there is no bitmap."""
-    byte = F.conv(F.hex(F.substring(bitmap, F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.call_function("getbit", byte, F.pmod(bit, F.lit(8)).cast("int")) == 1, F.lit(False))
+
+def words(df: DataFrame, keys: list[str], number: Column) -> DataFrame:
+    """(``keys``, ``word``, ``bits``): the set of numbers of every group of keys."""
+    return df.groupBy(*keys, word_of(number).alias("word")).agg(F.bit_or(mask_of(number)).alias("bits"))
+
+
+def united(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The union of bitmaps that lie in one table."""
+    return df.groupBy(*keys, "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def numbers(word: Column, bits: Column) -> Column:
+    """The numbers of a word, as an array."""
+    every = F.sequence(F.lit(0), F.lit(63)).cast("array<bigint>")
+    return F.transform(F.filter(every, lambda b: bits.bitwiseAND(mask_of(b)) != 0), lambda b: word * 64 + b)

@@ -1,130 +1,185 @@
 """Exactly one copy of every message that was delivered at least once.
 
-An identifier is a namespace (any columns) and a whole number inside it.  The
-pair is encoded exactly as a container, the dictionary entry (namespace, shard),
-and one of its 32,768 bits.  The bits that have been seen live in a table with
-one bitmap per container.  A batch goes through four steps:
+An identifier is a namespace (any columns) and a whole number inside it.  It is
+encoded exactly: a dictionary gives every namespace a code, and (code, number) is
+one bit of a bitmap.  The bits that have been seen lie in shards as compressed
+words (see ``bitmaps``).  A batch goes through five steps:
 
-1. one candidate per identifier, the smallest arrival, by a partially
+1. namespaces the dictionary does not hold get codes, dense within 64 classes;
+2. one candidate per identifier, the smallest arrival, by a partially
    aggregated ``groupBy`` (a message repeated a billion times costs a task one row);
-2. the candidates look up their container; those whose bit is set are late copies;
-3. the others are the batch's winners;
-4. the winners' bits are united with the seen ones and committed as a new version.
-
-After step 1 no container holds more than 32,768 candidates, so neither the
-lookup nor the union can be skewed, and nothing is broadcast or collected.
+3. the candidates look up their word, in the shards they fall into; those whose
+   bit is set are late copies;
+4. the others are the batch's winners, and are written;
+5. their bits are united with the words of those shards.
+
+Dictionary, shards, winners and the name of the batch become visible by one
+rename.  A batch that stopped before it is done again from the start; one that
+stopped after it gives its winners again.  A word has at most 64 candidates, so
+no lookup or union is skewed; nothing but shard numbers is collected, and only
+a dictionary of a measured size is broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from fluxloom.functions.bitmaps import bit_of, is_set, shard_of
-from fluxloom.storage import file_system, scratch_path
+from fluxloom.functions.bitmaps import is_set, numbers, united, word_of, words
+from fluxloom.manifest import Manifest
+from fluxloom.operators.skew import Narrow
+from fluxloom.storage import scratch_path
+
+#: Classes of namespaces that are numbered on their own.
+_CLASSES = 64
+_NAMES = "ns string, code bigint"
+_WORDS = "shard int, code bigint, word bigint, bits bigint"
 
 
 class SeenBits:
-    """Versioned table of seen bits: namespace columns ``n0..``, ``shard``, ``bitmap``.
+    """Dictionary, seen bits and winners under a folder, as of its manifest."""
 
-    A version is written beside the current one and becomes visible by one
-    rename, so a reader sees all bits of a batch or none, and a batch that is
-    run again after a crash starts from the version before it.
-    """
+    def __init__(self, spark: SparkSession, path: str, shards: int | None = None):
+        self.spark, self.path, self.manifest = spark, path.rstrip("/"), Manifest(spark, path)
+        self._shards = shards
+        self._known: tuple[list[str], Narrow] | None = None
 
-    def __init__(self, spark: SparkSession, path: str, width: int):
-        self.spark, self.path = spark, path.rstrip("/")
-        self.names = [f"n{i}" for i in range(width)]
-        self.schema = T.StructType([*(T.StructField(n, T.StringType()) for n in self.names), T.StructField("shard", T.LongType()), T.StructField("bitmap", T.BinaryType())])
+    def shards(self, state: Mapping) -> int:
+        """Shards of the bitmap, fixed by the first batch."""
+        return state.get("n_shards") or self._shards or max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def version(self) -> int:
-        """Number of the latest committed version, 0 if there is none."""
-        fs, at = file_system(self.spark, self.path)
-        if not fs.exists(at):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
-
-    def load(self) -> DataFrame | None:
-        v = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else None
-
-    def unite(self, bits: DataFrame) -> None:
-        """Commit the union of the seen bits and ``bits`` (namespace columns, ``shard``, ``bit``)."""
-        keys = [*self.names, "shard"]
-        fresh = bits.groupBy(*keys).agg(F.bitmap_construct_agg("bit").alias("bitmap"))
-        v, seen = self.version(), self.load()
-        if seen is not None:
-            fresh = seen.unionByName(fresh).groupBy(*keys).agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
-        fresh.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/_next")
-        fs, at = file_system(self.spark, f"{self.path}/_next")
-        if not fs.rename(at, file_system(self.spark, f"{self.path}/v{v + 1}")[1]):
-            raise RuntimeError(f"seen bits: version {v + 1} of {self.path} could not be committed")
-        if v > 1:  # one version stays for readers that began before the commit
-            fs.delete(file_system(self.spark, f"{self.path}/v{v - 1}")[1], True)
+        return self.manifest.load()[0]
+
+    def known(self, state: Mapping) -> Narrow:
+        """The dictionary (``ns``, ``code``), measured anew when it has grown."""
+        parts = state.get("names", [])
+        if self._known is None or self._known[0] != parts:
+            at = [f"{self.path}/{p}" for p in parts]
+            self._known = parts, Narrow(self.spark.read.schema(_NAMES).parquet(*at) if at else self.spark.createDataFrame([], _NAMES), ["ns"], F.col("number"))
+        return self._known[1]
+
+    def bits(self, state: Mapping, shards: Iterable[int] | None = None) -> DataFrame | None:
+        """The words (``shard``, ``code``, ``word``, ``bits``) of some shards, or of all; None if nothing has been seen there."""
+        held = state.get("shards", {})
+        at = [f"{self.path}/{held[s]}/at={s}" for s in (held if shards is None else map(str, shards)) if s in held]
+        return self.spark.read.schema(_WORDS).parquet(*at) if at else None
+
+    def winners(self, part: str) -> DataFrame:
+        return self.spark.read.schema("n0 string, code bigint, number bigint, arrival bigint, shard int").parquet(f"{self.path}/{part}").select("n0", "arrival")
+
+
+def _spelled(part: Column) -> Column:
+    """A namespace part, spelled so that parts put together stay apart: its length, a colon and itself; null is a dash."""
+    text = part.cast("string")
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
 def encode(df: DataFrame, namespace: Sequence[Column], ordinal: Column, arrival: Column) -> DataFrame:
-    """Rows as (``n0..``, ``shard``, ``bit``, ``arrival``); rows without an ordinal have no identifier and are left to ``unidentified``."""
-    cols = [c.cast("string").alias(f"n{i}") for i, c in enumerate(namespace)]
-    number = ordinal.cast("bigint")
-    return df.select(*cols, number.alias("_o"), arrival.alias("arrival")).where("_o is not null and arrival is not null").select(*[f"n{i}" for i in range(len(cols))], shard_of(F.col("_o")).alias("shard"), bit_of(F.col("_o")).alias("bit"), "arrival")
+    """Rows as (``n0``, ``ns``, ``number``, ``arrival``); rows without an ordinal have no identifier and are left to
+    ``unidentified``, rows without an arrival cannot be told apart and are left out."""
+    ns = F.concat(*[_spelled(c) for c in namespace])
+    return df.select(namespace[0].cast("string").alias("n0"), ns.alias("ns"), ordinal.cast("bigint").alias("number"), arrival.cast("bigint").alias("arrival")).where("number is not null and arrival is not null")
 
 
 def unidentified(df: DataFrame, feed: Column, ordinal: Column, arrival: Column) -> DataFrame:
     """(``n0``, ``arrival``) of the rows without an ordinal: never copies of anything, so each comes out."""
-    return df.where(ordinal.cast("bigint").isNull() & arrival.isNotNull()).select(feed.cast("string").alias("n0"), arrival.alias("arrival"))
+    return df.where(ordinal.cast("bigint").isNull() & arrival.isNotNull()).select(feed.cast("string").alias("n0"), arrival.cast("bigint").alias("arrival"))
+
+
+def _coded(batch: DataFrame, seen: SeenBits, state: dict) -> tuple[DataFrame, dict, list[int]]:
+    """The batch with codes and shards, the state with new namespaces in its dictionary, and the shards the batch falls into."""
+    n = state["n_shards"]
+    shard = F.pmod(F.xxhash64("ns", F.shiftright("number", 15)), F.lit(n)).cast("int")  # a shard holds runs of 512 words
+    batch = batch.withColumn("shard", shard)
+    named = seen.known(state).left(batch)
+    new, touched = named.agg(F.count_if(F.col("code").isNull()), F.collect_set("shard")).first()  # at most one entry a shard
+    if new:
+        fresh = named.where("code is null").select("ns").distinct()
+        base = state.get("named") or [0] * _CLASSES
+        kind = F.pmod(F.xxhash64("ns"), F.lit(_CLASSES)).cast("int")
+        nth = F.row_number().over(Window.partitionBy("_class").orderBy("ns")) - 1
+        before = F.element_at(F.array(*[F.lit(x).cast("bigint") for x in base]), F.col("_class") + 1)
+        part = f"names-{uuid.uuid4().hex}"
+        fresh.withColumn("_class", kind).select("ns", ((before + nth) * _CLASSES + F.col("_class")).alias("code")).write.option("compression", "zstd").parquet(f"{seen.path}/{part}")
+        added = {r[0]: r[1] for r in seen.spark.read.schema(_NAMES).parquet(f"{seen.path}/{part}").groupBy((F.col("code") % _CLASSES).alias("c")).count().collect()}  # at most 64 rows
+        state = {**state, "names": [*state.get("names", []), part], "named": [x + added.get(i, 0) for i, x in enumerate(base)]}
+        named = seen.known(state).left(batch)
+    return named.select("n0", "code", "number", "arrival", "shard"), state, sorted(touched)
+
+
+def take_unseen(batch: DataFrame, seen: SeenBits, name: str | None = None) -> DataFrame:
+    """Winners (``n0``, ``arrival``) of an encoded batch: the smallest arrival of every identifier whose bit is not set.
+
+    Winners and bits are committed together under the ``name`` of the batch; a batch that is there gives its winners again.
+    """
+    held, state = seen.manifest.load()
+    name = name or uuid.uuid4().hex
+    if name in state["batches"]:
+        return seen.winners(state["batches"][name])
+    coded, state, touched = _coded(batch, seen, {**state, "n_shards": seen.shards(state)})
+    best = coded.groupBy("n0", "code", "number", "shard").agg(F.min("arrival").alias("arrival"))
+    part, known = f"winners-{uuid.uuid4().hex}", seen.bits(state, touched)
+    if known is not None:
+        same = (best["code"] == known["code"]) & (word_of(best["number"]) == known["word"])
+        # words lie compressed: the size of their files says little about their size in memory, so never broadcast them
+        best = best.join(known.hint("merge"), same, "left").where(~is_set(known["bits"], best["number"])).select(*[best[c] for c in best.columns])
+    best.write.option("compression", "zstd").parquet(f"{seen.path}/{part}")
+    fresh = words(seen.spark.read.schema(best.schema).parquet(f"{seen.path}/{part}"), ["shard", "code"], F.col("number"))
+    if known is not None:
+        fresh = united(fresh.unionByName(known), ["shard", "code"])
+    bits = f"bits-{uuid.uuid4().hex}"
+    # the shard is a column too, so that what is read from its folder alone knows it
+    fresh.withColumn("at", F.col("shard")).repartition("at").sortWithinPartitions("at", "code", "word").write.partitionBy("at").option("compression", "zstd").parquet(f"{seen.path}/{bits}")
+    held_at = state.get("shards", {})
+    state = {**state, "shards": {**held_at, **{str(s): bits for s in touched}}, "batches": {**state["batches"], name: part}}
+    seen.manifest.commit(held, state, [f"{held_at[str(s)]}/at={s}" for s in touched if str(s) in held_at])
+    return seen.winners(part)
 
 
-def take_unseen(batch: DataFrame, seen: SeenBits) -> DataFrame:
-    """Winners of an encoded batch: the smallest arrival of every identifier whose bit is not set.  Commits their bits."""
-    keys = [*seen.names, "shard"]
-    best = batch.groupBy(*keys, "bit").agg(F.min("arrival").alias("arrival"))
-    known = seen.load()
-    if known is not None:
-        known = known.select(*[F.col(k).alias(f"k_{k}") for k in keys], "bitmap")
-        same = [best[k].eqNullSafe(known[f"k_{k}"]) for k in keys]
-        on = same[0]
-        for c in same[1:]:
-            on = on & c
-        # bitmaps lie compressed: the size of their files says little about their size in memory, so never broadcast them
-        best = best.join(known.hint("merge"), on, "left").where(~is_set(F.col("bitmap"), F.col("bit"))).select(*keys, "bit", "arrival")
-    path = scratch_path(seen.spark, "winners")
-    best.write.option("compression", "zstd").parquet(path)
-    winners = seen.spark.read.schema(best.schema).parquet(path)
-    seen.unite(winners)
-    return winners
-
-
-def first_deliveries(batches: Iterable[DataFrame], spark: SparkSession, width: int, seen: SeenBits | None = None) -> DataFrame:
-    """(``n0``, ``arrival``) of the kept copies over encoded batches, given in order of arrival.
+def first_deliveries(batches: Iterable[DataFrame] | Mapping[str, DataFrame], spark: SparkSession, seen: SeenBits | None = None) -> DataFrame:
+    """(``n0``, ``arrival``) of the kept copies over encoded batches, given in order of arrival, under names if they may be replayed.
 
     ``n0`` is the first part of the namespace; several feeds with arrivals of their own go through together with the
-    feed's name as that part.  Identifiers compare null-safely: a null namespace part equals a null.  The arrival must
-    be unique in its feed; where it is not, rows that share the kept arrival count as one delivery.  No batch, or empty
-    ones, give an empty result.
+    feed's name as that part.  A null namespace part equals a null.  The arrival must be unique in its feed; where it is
+    not, rows that share the kept arrival count as one delivery.  No batch, or empty ones, give an empty result.
     """
-    seen = seen or SeenBits(spark, scratch_path(spark, "seen"), width)
+    seen = seen or SeenBits(spark, scratch_path(spark, "seen"))
     kept = None
-    for batch in batches:
-        won = take_unseen(batch, seen).select("n0", "arrival")
+    for name, batch in batches.items() if isinstance(batches, Mapping) else ((None, b) for b in batches):
+        won = take_unseen(batch, seen, name)
         kept = won if kept is None else kept.unionByName(won)
     return kept if kept is not None else spark.createDataFrame([], "n0 string, arrival bigint")
 
 
-def arrival_batches(df: DataFrame, arrival: str, n: int) -> list[DataFrame]:
-    """``df`` in ``n`` successive ranges of a whole-numbered arrival; the bounds reach the scan as filters."""
-    lo, hi = df.agg(F.min(arrival), F.max(arrival)).first()
+def arrival_batches(df: DataFrame, n: int, bounds: tuple[int, int] | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Encoded rows, written once in ``n`` successive ranges of arrival: all of them, and each batch under its name.
+
+    ``bounds``: the least and greatest arrival, where they are known; rows beyond them go to the first and last batch.
+    """
+    lo, hi = bounds or df.agg(F.min("arrival"), F.max("arrival")).first()
     if lo is None:
-        return []
-    edges = [lo + (hi + 1 - lo) * i // n for i in range(n + 1)]
-    return [df.where((F.col(arrival) >= a) & (F.col(arrival) < b)) for a, b in zip(edges, edges[1:]) if a < b]
+        return df, {}
+    edges = [lo + (hi + 1 - lo) * i // n for i in range(1, n)]
+    batch = F.lit(0)
+    for e in edges:
+        batch = batch + (F.col("arrival") >= e).cast("int")
+    path = scratch_path(df.sparkSession, "arrivals")
+    df.withColumn("batch", batch).write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    rows = df.sparkSession.read.schema(df.withColumn("batch", batch).schema).parquet(path)
+    return rows, {f"batch-{i}": rows.where(F.col("batch") == i).drop("batch") for i in range(n)}
 
 
 def surplus(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """Encoded ``rows`` whose arrival is not among ``kept``; the join key is unique, so it never skews."""
-    same = F.col("l.n0").eqNullSafe(F.col("r.n0")) & (F.col("l.arrival") == F.col("r.arrival"))
-    return rows.select("n0", "arrival").alias("l").join(kept.alias("r"), same, "left_anti")
+    """(``n0``, ``arrival``) of the encoded ``rows`` whose arrival is not among ``kept``.
+
+    Both sides are bitmaps over the arrivals, made where the rows lie: a word a task and 64 arrivals is all that is shuffled.
+    """
+    given = words(rows, ["n0"], F.col("arrival")).select("n0", "word", "bits", F.lit(0).cast("bigint").alias("kept"))
+    stay = words(kept, ["n0"], F.col("arrival")).select("n0", "word", F.lit(0).cast("bigint").alias("bits"), F.col("bits").alias("kept"))
+    both = given.unionByName(stay).groupBy("n0", "word").agg(F.bit_or("bits").alias("bits"), F.bit_or("kept").alias("kept"))
+    lost = F.col("bits").bitwiseAND(F.bitwise_not("kept"))
+    return both.where(lost != 0).select("n0", F.explode(numbers(F.col("word"), lost)).alias("arrival"))

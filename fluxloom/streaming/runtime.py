@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fluxloom.errors import Coded, first_code, one_line
+from fluxloom.manifest import Manifest
 from fluxloom.operators import targets
 from fluxloom.plans.pipeline import Branch, Output, Plan, build
 from fluxloom.sources import tables as sel
 from fluxloom.sources.readers import Reader
 from fluxloom.spec import Workspace, content_hash
-from fluxloom.streaming.tables import AppendTable, Manifest, UpsertTable
+from fluxloom.streaming.tables import AppendTable, UpsertTable
 
 #: From which states a verb is legal, and where it leads.
 VERBS = {

@@ -11,46 +11,13 @@ owner's, which a later computation replaces in one manifest.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.storage import file_system
-
-
-class Manifest:
-    """Versioned list of parts and batches under a folder."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def load(self) -> tuple[int, dict]:
-        fs, at = file_system(self.spark, self.path)
-        if not fs.exists(at):
-            return 0, {"parts": [], "batches": {}}
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        n = max((int(x[9:-5]) for x in names if x.startswith("manifest-") and x.endswith(".json")), default=0)
-        if not n:
-            return 0, {"parts": [], "batches": {}}
-        jvm = self.spark.sparkContext._jvm
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{n}.json"))
-        try:
-            return n, json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
-
-    def commit(self, held: int, state: dict) -> None:
-        jvm = self.spark.sparkContext._jvm
-        fs, tmp = file_system(self.spark, f"{self.path}/_{uuid.uuid4().hex}")
-        out = fs.create(tmp)
-        out.write(bytearray(json.dumps(state).encode()))
-        out.close()
-        if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{held + 1}.json")):
-            fs.delete(tmp, False)
-            raise RuntimeError(f"{self.path}: somebody else committed version {held + 1}")
+from fluxloom.manifest import Manifest
 
 
 def _owned(state: dict) -> list[str]:
@@ -73,21 +40,23 @@ class UpsertTable:
         held, state = self.manifest.load()
         if batch is not None and batch <= state["batches"].get(stream, -1):
             return False
-        parts = [*state["parts"], self._write(self._flat(steps), 0)]
+        parts, merged = [*state["parts"], self._write(self._flat(steps), 0)], []
         level = 0
         while len(tier := [p for p in parts if p.startswith(f"part-{level}-")]) > self.compact_after:
             # order lies in the rows, so merging parts in any grouping is exact
             parts = [p for p in parts if p not in tier] + [self._write(self._read(tier), level + 1)]
+            merged += tier
             level += 1
         batches = {**state["batches"], **({stream: batch} if batch is not None else {})}
-        self.manifest.commit(held, {**state, "parts": parts, "batches": batches})
+        self.manifest.commit(held, {**state, "parts": parts, "batches": batches}, merged)
         return True
 
     def replace(self, owned: Mapping[str, DataFrame]) -> None:
         """Put steps in place of what their owners gave before, all in one commit."""
         parts = {owner: [self._write(self._flat(steps), 0)] for owner, steps in owned.items()}
         held, state = self.manifest.load()
-        self.manifest.commit(held, {**state, "owned": {**state.get("owned", {}), **parts}})
+        old = [p for o in parts for p in state.get("owned", {}).get(o, [])]
+        self.manifest.commit(held, {**state, "owned": {**state.get("owned", {}), **parts}}, old)
 
     def _write(self, flat: DataFrame, level: int) -> str:
         part = f"part-{level}-{uuid.uuid4().hex}"
@@ -128,7 +97,8 @@ class AppendTable:
         """Put rows in place of what their owners gave before, all in one commit."""
         parts = {owner: [self._write(rows)] for owner, rows in owned.items()}
         held, state = self.manifest.load()
-        self.manifest.commit(held, {**state, "owned": {**state.get("owned", {}), **parts}})
+        old = [p for o in parts for p in state.get("owned", {}).get(o, [])]
+        self.manifest.commit(held, {**state, "owned": {**state.get("owned", {}), **parts}}, old)
 
     def _write(self, rows: DataFrame) -> str:
         part = f"part-{uuid.uuid4().hex}"
