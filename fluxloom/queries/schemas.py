@@ -16,7 +16,8 @@ _FIELDS = {"properties": (MEMBERS, "field")}
 CONNECTOR = Grammar(
     "connector",
     {
-        "connector": Element({"configOptions": (ONE, "options"), "messages": (ONE, "catalog")}, anchor=True),
+        "connector": Element({"properties": (ONE, "about"), "configOptions": (ONE, "options"), "messages": (ONE, "catalog")}, anchor=True),
+        "about": Element(),
         "options": Element({"capabilities": (LIST, "capability"), "connection": (ONE, "form"), "node": (ONE, "form")}, transparent=True),
         "form": Element(_FIELDS, (ONE, "form"), transparent=True),
         "capability": Element(),
@@ -29,15 +30,27 @@ CONNECTOR = Grammar(
 )
 
 
+#: The entities that are asked for; what else the graph makes a table is none of them.
+ENTITIES = ("connector", "capability", "field", "choice", "reaction", "message")
+
+#: The flat tables: entity, and output column -> attribute of the singletons inlined into it.
+FLAT = {
+    "p4_connectors": ("connector", {"name": "properties.name", "connector_id": "properties.id"}), "p4_capabilities": ("capability", {"capability_id": "id"}),
+    "p4_fields": ("field", {"field_type": "type", "title": "title", "component": "x-component", "position": "x-index"}), "p4_choices": ("choice", {"label": "label", "value": "value"}),
+    "p4_reactions": ("reaction", {"target": "target"}), "p4_messages": ("message", {"text": "value"}),
+}
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of every whole description, with the path of its parent."""
-    return shred.shred(read(spark, sf_dir, "connector_spec").select("spec_id", "body"), "spec_id", "body", CONNECTOR)
+    rows = shred.shred(read(spark, sf_dir, "connector_spec").select("spec_id", "body"), "spec_id", "body", CONNECTOR)
+    return rows.where(F.col("entity").isin(*ENTITIES))
 
 
-def p4_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat table of form fields: own path, parent, and the inlined singletons type, title and index."""
+def _flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A flat table: own path, parent, and the singletons inlined into it."""
     rows = shred.shred(read(spark, sf_dir, "connector_spec").select("spec_id", "body"), "spec_id", "body", CONNECTOR, attributes=True)
-    return shred.flat_table(rows, "spec_id", "field", {"field_type": "type", "title": "title", "component": "x-component", "position": "x-index"})
+    return shred.flat_table(rows, "spec_id", *FLAT[name])
 
 
 def _tracked(spark: SparkSession, sf_dir: str) -> tuple[drift.Versions, DataFrame]:
@@ -59,8 +72,49 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p4_found": p4_found, "p4_fields": p4_fields, "p5_found": p5_found, "p5_unified": p5_unified}
+    flat = {n: lambda spark, sf, n=n: _flat(spark, sf, n) for n in FLAT}
+    return {"p4_found": p4_found, **flat, "p5_found": p5_found, "p5_unified": p5_unified}
+
+
+def _unfolded(value: str) -> str:
+    """SQL: a JSON value, or the object or list that its text stands for (text inside text up to three levels)."""
+    out = value
+    for i in range(3):  # a list of one binds what is met several times
+        text = f"trim(j{i}->>'$', ' ' || chr(9) || chr(10) || chr(13) || chr(65279))"
+        out = f"list_transform([{out}], lambda j{i}: CASE WHEN json_type(j{i}) = 'VARCHAR' AND json_valid({text}) AND json_type({text}) IN ('OBJECT', 'ARRAY', 'VARCHAR') THEN {text}::JSON ELSE j{i} END)[1]"
+    return f"list_transform([{out}], lambda k: CASE WHEN json_type(k) IN ('OBJECT', 'ARRAY') THEN k ELSE {value} END)[1]"
+
+
+_TREE = f"""
+WITH RECURSIVE tree AS (
+  SELECT spec_id, 'connector' AS kind, '$' AS path, '' AS parent, '$' AS anchor, v FROM (SELECT spec_id, {_unfolded("to_json(body)")} AS v FROM connector_spec WHERE body IS NOT NULL) WHERE json_type(v) = 'OBJECT'
+  UNION ALL
+  SELECT spec_id, made, spot, CASE WHEN starts_with(made, ':') THEN '' ELSE anchor END, CASE WHEN made = 'field' THEN spot ELSE anchor END, v FROM (
+    SELECT spec_id, anchor, v, CASE WHEN step[1:3] = ':L:' AND json_type(v) <> 'ARRAY' THEN step[4:] ELSE step END AS made, spot || CASE WHEN step[1:3] = ':L:' AND json_type(v) <> 'ARRAY' THEN '/0' ELSE '' END AS spot
+    FROM (
+      SELECT t.spec_id, t.anchor, t.path || '/' || e.key AS spot, {_unfolded("e.value")} AS v,
+        CASE WHEN t.kind = 'connector' THEN CASE e.key WHEN 'configOptions' THEN ':options' WHEN 'messages' THEN ':catalog' WHEN 'properties' THEN ':about' END
+             WHEN kind = ':options' THEN CASE WHEN json_type(t.v) <> 'OBJECT' THEN NULL WHEN e.key = 'capabilities' THEN ':L:capability' WHEN e.key IN ('connection', 'node') THEN ':form' END
+             WHEN kind IN (':form', 'field', 'choice', 'reaction') THEN CASE WHEN json_type(t.v) <> 'OBJECT' THEN ':form' WHEN e.key = 'properties' THEN ':members'
+               WHEN kind = 'field' AND e.key = 'enum' THEN ':L:choice' WHEN kind = 'field' AND e.key = 'x-reactions' THEN ':L:reaction' ELSE ':form' END
+             WHEN kind = ':members' THEN CASE WHEN json_type(t.v) = 'OBJECT' THEN 'field' ELSE ':form' END
+             WHEN kind = ':catalog' THEN ':locale' WHEN kind = ':locale' AND json_type(t.v) = 'OBJECT' THEN 'message' WHEN starts_with(kind, ':L:') THEN kind[4:] END AS step
+      FROM tree t, json_each(t.v) e WHERE json_type(t.v) IN ('OBJECT', 'ARRAY') AND json_type(e.value) <> 'NULL')
+    WHERE step IS NOT NULL)
+)
+"""
 
 
 def oracle_sql() -> dict:
-    return {}
+    row = "SELECT spec_id, path AS node_path, parent AS parent_path"
+    scalar = "CASE WHEN json_type(v) NOT IN ('OBJECT', 'ARRAY') THEN v->>'$' END"
+    tables = {
+        "p4_connectors": "SELECT c.spec_id, c.path AS node_path, c.parent AS parent_path, a.v->>'name' AS name, a.v->>'id' AS connector_id FROM tree c LEFT JOIN tree a ON a.spec_id = c.spec_id AND a.kind = ':about' WHERE c.kind = 'connector'",
+        "p4_capabilities": f"{row}, v->>'id' AS capability_id FROM tree WHERE kind = 'capability'",
+        "p4_fields": f"{row}, v->>'type' AS field_type, v->>'title' AS title, v->>'x-component' AS component, v->>'x-index' AS position FROM tree WHERE kind = 'field'",
+        "p4_choices": f"{row}, v->>'label' AS label, CASE WHEN json_type(v) = 'OBJECT' THEN v->>'value' ELSE {scalar} END AS value FROM tree WHERE kind = 'choice'",
+        "p4_reactions": f"{row}, v->>'target' AS target FROM tree WHERE kind = 'reaction'",
+        "p4_messages": f"{row}, {scalar} AS text FROM tree WHERE kind = 'message'",
+    }
+    found = "SELECT spec_id, kind AS entity, path AS node_path, parent AS parent_path FROM tree WHERE NOT starts_with(kind, ':')"
+    return {"p4_found": _TREE + found, **{n: _TREE + q for n, q in tables.items()}}

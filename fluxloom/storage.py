@@ -88,8 +88,13 @@ def release(spark: SparkSession | None = None) -> None:
 atexit.register(release)
 
 
+#: Bytes a task reads at most, by Spark's default for files.
+_SPLIT = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of ``df`` before a Python stage, where the scan alone has fewer splits."""
+    """Give every core a share of ``df`` before a Python stage, where its input alone makes fewer splits."""
     ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if size >= cores * _SPLIT else df.repartition(cores)

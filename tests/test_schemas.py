@@ -8,11 +8,12 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from fluxloom.operators import drift, shred
-from fluxloom.queries.schemas import CONNECTOR
+from fluxloom.queries.schemas import CONNECTOR, ENTITIES
 
 
 def nodes(body):
-    return sorted((k, p, o) for k, p, o, _ in shred.elements_of(body, CONNECTOR))
+    rows = shred.elements_of(body, CONNECTOR)
+    return sorted((r[0], r[1], "" if r[3] < 0 else rows[r[3]][1]) for r in rows if r[0] in ENTITIES)
 
 
 def test_nodes_of_a_description():
@@ -48,8 +49,52 @@ def test_every_node_hangs_on_one_that_is_there(value):
 
 
 def test_tables_by_shared_inlining():
-    edges = [("a", "b", "one"), ("a", "c", "list"), ("b", "d", "one"), ("c", "d", "one"), ("d", "e", "one"), ("e", "f", "one"), ("f", "e", "one")]
-    assert shred.tables_of(edges, "a") == ["a", "c", "d", "e", "f"]
+    edges = [("a", "b", "one", 1), ("a", "c", "list", 1), ("b", "d", "one", 1), ("c", "d", "one", 1), ("d", "e", "one", 1), ("e", "f", "one", 1), ("f", "e", "one", 1), ("a", "g", "one", 2), ("a", "h", "one", 1)]
+    assert shred.tables_of(edges, "a") == ["a", "c", "d", "e", "f", "g"]
+
+
+ORDER = shred.Grammar("order", {
+    "order": shred.Element({"buyer": (shred.ONE, "party"), "lines": (shred.LIST, "line")}, anchor=True), "party": shred.Element({"home": (shred.ONE, "place"), "phones": (shred.LIST, "phone")}, anchor=True),
+    "place": shred.Element(), "phone": shred.Element(), "line": shred.Element({"seller": (shred.ONE, "party")}),
+})
+
+
+def test_the_documents_decide_what_is_a_table_and_what_a_column(spark):
+    def tables(*bodies):
+        df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "id long, body string")
+        return shred.shred(df, "id", "body", ORDER, attributes=True)
+
+    single = '{"no": 7, "buyer": {"name": "n", "home": {"city": "c"}, "phones": ["1"]}, "lines": {"sku": 1.50}}'
+    one = tables(single)
+    assert rows(one.select("entity", "node_path", "parent_path")) == [("line", "$/lines/0", "$"), ("order", "$", ""), ("phone", "$/buyer/phones/0", "$")]
+    assert one.where("entity = 'order'").first().attributes == {"no": "7", "buyer.name": "n", "buyer.home.city": "c"}
+    assert rows(one.where("entity <> 'order'").select("attributes").selectExpr("attributes['value'] v", "attributes['sku'] s")) == [(None, "1.50"), ("1", None)]
+    # two buyers in one document: the type is a table of its own in all of them
+    more = tables(single, '{"buyer": [{"name": "a"}, {"name": "b"}]}')
+    assert rows(more.where("entity = 'party'").select("id", "node_path", "parent_path")) == [(0, "$/buyer", "$"), (1, "$/buyer/0", "$"), (1, "$/buyer/1", "$")]
+    assert more.where("entity = 'order' and id = 0").first().attributes == {"no": "7"} and rows(more.where("entity = 'phone'").select("parent_path")) == [("$/buyer",)]
+    # shared by two parents: a table too, and its own singleton stays inlined in it
+    shared = tables(single, '{"lines": [{"seller": {"home": {"city": "x"}}}]}')
+    assert {r.id: r.attributes for r in shared.where("entity = 'party'").collect()} == {0: {"name": "n", "home.city": "c"}, 1: {"home.city": "x"}}
+
+
+def test_deep_texts_are_read_without_recursion():
+    deep = '{"a": ' * 20_000 + '"x"' + "}" * 20_000
+    assert shred._text(shred.deep_loads(deep)) == deep
+    got = nodes('{"configOptions": {"connection": {"properties": {"f": 1}, "more": ' + deep + "}}}")
+    assert got == [("connector", "$", ""), ("field", "$/configOptions/connection/properties/f", "$")]
+    assert len(shred.elements_of('{"n": ' + "9" * 10_000 + "}", CONNECTOR, True)[0][6]["n"]) == 10_000
+
+
+@given(st.text("[]{}\",:1a \\", max_size=12) | st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=4), lambda k: st.lists(k, max_size=3) | st.dictionaries(st.text(max_size=3), k, max_size=3)).map(json.dumps))
+def test_both_parsers_agree(text):
+    def read(f):
+        try:
+            return f(text)
+        except ValueError:
+            return "refused"
+
+    assert read(shred.deep_loads) == read(lambda t: json.loads(t, parse_int=str, parse_float=str, parse_constant=shred._refuse))
 
 
 def test_shredding_keeps_keys_and_inlines_the_rest(spark):
@@ -57,7 +102,7 @@ def test_shredding_keeps_keys_and_inlines_the_rest(spark):
     out = shred.shred(df, "id", "body", CONNECTOR, attributes=True)
     assert rows(out.select("id", "entity", "node_path")) == [(None, "connector", "$"), (1, "connector", "$"), (1, "connector", "$"), (1, "field", "$/configOptions/connection/properties/h")]
     assert rows(shred.flat_table(out, "id", "field", {"t": "type", "e": "deep.er"})) == [(1, "$/configOptions/connection/properties/h", "$", "s", "true")]
-    assert out.where("entity = 'connector' and attributes['configOptions.connection.type'] = 'object'").count() == 1
+    assert out.where("entity = 'connector' and attributes['configOptions.connection.type'] = 'object' and attributes['properties.id'] = '5'").count() == 1
     assert shred.shred(df.limit(0), "id", "body", CONNECTOR).count() == 0
 
 
