@@ -10,12 +10,15 @@ Test items are a fixed, small set of queries; they stand against all documents.
    meets a random test matrix, and once more its own range, in distributed
    passes that hand back one (vocabulary x rank) matrix a task.  Passages of the
    items weigh more than those of the corpus, so the space tells items apart.
-4. Every passage of every document is folded into the space and compared with all
-   item passages in blocks; a cosine above ``cosine`` makes a candidate.  As the
-   cosine is at most the share of a passage that lies in the items' words, most
-   passages are settled by that share alone, without a loss.
+4. Every passage of every document that can hold a quote is folded into the space
+   and compared with the passages of the items it can quote; a cosine above
+   ``cosine`` makes a candidate.  Two exact facts settle most pairs before.  A quote
+   of ``least`` words, ``kept`` of them whole, leaves three successive words of the
+   item whole in the passage over it: an inverted index of the items' word triples
+   says which items those can be.  And the cosine is at most the share of a passage
+   that lies in the items' words.
 5. Candidates are checked word by word: a run of ``least`` successive item words
-   of which ``kept`` agree in order, longest common subsequence with short gaps,
+   of which ``kept`` agree in order, longest common subsequence with bounded gaps,
    within a stretch of about the same length.  The answer is looked for around it.
 
 Nothing about documents is ever collected or broadcast but the fixed-size
@@ -45,13 +48,15 @@ class Settings:
     rank: int = 192  # dimensions of the latent space
     corpus_weight: float = 0.2  # of the corpus's passages beside the items' when the space is fitted
     fit_passages: int = 200_000  # bound of the sample of corpus passages the space is fitted on; frequencies take all
-    fit_tasks: int = 24  # tasks that hand a matrix to the driver
+    fit_tasks: int = 24  # tasks that fit; their matrices are added up on executors
+    item_chars: int = 50_000_000  # of item text and answers at once; more items go through in several rounds
     seed: int = 11
     cosine: float = 0.25  # from which a passage pair is a candidate; at 0.5 a quote of 15 words with 3 exchanged was often none
     least: int = 15  # successive words of the item
     kept: float = 0.8  # share of them that must agree
     stretch: float = 1.5  # length of the stretch of text, in item words
     block: int = 2048  # passages compared at once
+    piece: int = 512  # words of a text that are aligned with an item at once; longer stretches are taken in overlapping pieces
 
 
 @dataclass
@@ -109,28 +114,70 @@ def passages(codes: np.ndarray, weight: np.ndarray, basis: np.ndarray, window: i
     return at, np.maximum(norm, 1e-9), _sums(rows, at, window)
 
 
-def promising(codes: np.ndarray, weight: np.ndarray, basis: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and folded vectors of the passages of one text that can reach the cosine at all: it is at most the length
-    of the folded vector, and that at most the share of the passage's weight that lies in the vocabulary."""
+class Triples:
+    """Inverted index: three successive words of an item -> the items they stand in."""
+
+    def __init__(self, texts: list[np.ndarray], size: int):
+        self.size = max(size, 1)
+        two = [t[:-1].astype(np.int64) * self.size + t[1:] for t in texts]
+        self.two = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *two]))
+        keys = [np.searchsorted(self.two, d[:-1]).astype(np.int64) * self.size + t[2:] for d, t in zip(two, texts)]
+        pairs = np.unique(np.stack([np.concatenate([np.zeros(0, dtype=np.int64), *keys]), np.repeat(np.arange(len(texts)), [len(k) for k in keys])]), axis=1)
+        self.three, self.first = np.unique(pairs[0], return_index=True)
+        self.first = np.append(self.first, pairs.shape[1])
+        self.items = pairs[1]
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of every triple of a text that stands in an item."""
+        codes, none = codes.astype(np.int64), np.zeros(0, dtype=np.int64)
+        if len(codes) < 3 or not len(self.three):
+            return none, none
+        inside = codes >= 0
+        two = np.where(inside[:-1] & inside[1:], codes[:-1] * self.size + codes[1:], -1)
+        at = np.minimum(np.searchsorted(self.two, two), len(self.two) - 1)
+        known = (self.two[at] == two)[:-1] & inside[2:]
+        place = np.flatnonzero(known)
+        three = at[place] * self.size + codes[place + 2]
+        t = np.minimum(np.searchsorted(self.three, three), len(self.three) - 1)
+        place, t = place[self.three[t] == three], t[self.three[t] == three]
+        n = self.first[t + 1] - self.first[t]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(place, n), self.items[np.repeat(self.first[t], n) + offset]
+
+
+def promising(codes: np.ndarray, weight: np.ndarray, triples: Triples, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(start, item) of the passages of one text that hold a triple of the item and can reach the cosine at all: it is at
+    most the share of the passage's weight that lies in the vocabulary."""
+    place, item = triples.of(codes)
+    if not len(place):
+        return place, item
     at = starts(len(codes), s.window, s.stride)
+    # the passages over a triple: those that start from ``window - 3`` words before it up to it
+    lo, hi = np.searchsorted(at, place - (s.window - 3)), np.searchsorted(at, place, side="right")
+    n = np.maximum(hi - lo, 0)
+    passage = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    both = np.unique(np.stack([passage, np.repeat(item, n)]), axis=1)
     w = weight[codes]
     own = np.where(codes >= 0, w, 0)
     norm2, own2 = _sums(w * w, at, s.window), _sums(own * own, at, s.window)
-    at_most = s.window * own2  # squared length in the vocabulary, were it all one word
-    at = at[at_most >= s.cosine**2 * norm2]
-    starts_, vectors = [at[:0]], [np.zeros((0, basis.shape[1]), dtype=np.float32)]
+    able = s.window * own2 >= s.cosine**2 * norm2  # the squared length in the vocabulary, were it all one word
+    both = both[:, able[both[0]]]
+    return at[both[0]], both[1]
+
+
+def folded(codes: np.ndarray, at: np.ndarray, weight: np.ndarray, basis: np.ndarray, s: Settings) -> np.ndarray:
+    """The passages of one text at some starts, as vectors of the latent space over the passages' TF-IDF norms."""
+    out = np.zeros((len(at), basis.shape[1]), dtype=np.float32)
+    w = weight[codes]
+    own = np.where(codes >= 0, w, 0)
     for a in range(0, len(at), s.block):  # a text may be very long
-        part = at[a : a + s.block]
-        place = part[:, None] + np.arange(s.window)
+        place = at[a : a + s.block, None] + np.arange(s.window)
         inside = place < len(codes)
         place = np.minimum(place, len(codes) - 1)
         z = np.einsum("pw,pwr->pr", np.where(inside, own[place], 0).astype(np.float32), basis[codes[place]], optimize=True)
         length2 = np.where(inside, w[place] ** 2, 0).sum(1)
-        z /= np.sqrt(np.maximum(length2, 1e-12))[:, None].astype(np.float32)
-        able = np.einsum("ij,ij->i", z, z) >= s.cosine**2
-        starts_.append(part[able])
-        vectors.append(z[able])
-    return np.concatenate(starts_), np.concatenate(vectors)
+        out[a : a + s.block] = z / np.sqrt(np.maximum(length2, 1e-12))[:, None].astype(np.float32)
+    return out
 
 
 def idf(encoded: DataFrame, size: int, window: int) -> np.ndarray:
@@ -139,11 +186,14 @@ def idf(encoded: DataFrame, size: int, window: int) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, n = np.zeros(size, dtype=np.int64), 0
         for b in batches:
-            for codes in b["codes"]:
-                for a in range(0, len(codes), window):
-                    part = np.unique(codes[a : a + window])
-                    seen[part[part >= 0]] += 1
-                    n += 1
+            lengths = b["codes"].map(len).to_numpy(np.int64)
+            flat = np.concatenate([np.zeros(0, dtype=np.int64), *b["codes"]]).astype(np.int64)
+            before = np.cumsum(lengths) - lengths
+            windows = -(-lengths // window)
+            place = (np.arange(len(flat)) - np.repeat(before, lengths)) // window + np.repeat(np.cumsum(windows) - windows, lengths)
+            inside = flat >= 0
+            seen += np.bincount(np.unique(place[inside] * size + flat[inside]) % size, minlength=size) if size else 0
+            n += int(windows.sum())
         w = np.flatnonzero(seen)
         yield pd.DataFrame({"w": np.append(w, -1), "n": np.append(seen[w], n)})
 
@@ -183,12 +233,16 @@ def _gram(texts, weight: np.ndarray, test: np.ndarray, s: Settings, stride: int)
     return out, energy
 
 
+#: Rows of a matrix that are added up in one task.
+_ROWS = 512
+
+
 def latent_basis(encoded: DataFrame, items: Items, weight: np.ndarray, s: Settings) -> np.ndarray:
     """Orthonormal (vocabulary x rank) basis of the leading right singular vectors of the passage matrix."""
     size = len(items.vocabulary)
     n = encoded.select(F.sum(F.ceil(F.size("codes") / (s.window // 2)))).first()[0] or 0
     sample = encoded.select("codes") if n <= s.fit_passages else encoded.select("codes").sample(fraction=s.fit_passages / n, seed=s.seed)
-    sample = sample.coalesce(s.fit_tasks)
+    sample = materialize(sample, "sample").coalesce(s.fit_tasks)  # drawn once, by as many tasks as the scan has
     spark = encoded.sparkSession
 
     def corpus(test: np.ndarray) -> tuple[np.ndarray, float]:
@@ -200,12 +254,19 @@ def latent_basis(encoded: DataFrame, items: Items, weight: np.ndarray, s: Settin
                 y, e = _gram(b["codes"], shared.value[0], shared.value[1], s, s.window // 2)
                 total += y
                 energy += e
-            yield pd.DataFrame({"y": [total.astype(np.float32).tobytes()], "e": [energy]})
+            rows = np.arange(0, size, _ROWS)
+            yield pd.DataFrame({"at": [-1, *rows], "y": [np.array([energy]).tobytes(), *(total[a : a + _ROWS].tobytes() for a in rows)]})
+
+        def add(b: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({"at": b["at"].iloc[:1], "y": [np.sum([np.frombuffer(bytes(y)) for y in b["y"]], axis=0).tobytes()]})
 
         total, energy = np.zeros(test.shape), 0.0
-        for y, e in sample.mapInPandas(part, "y binary, e double").toLocalIterator():  # fit_tasks matrices, one at a time
-            total += np.frombuffer(bytes(y), dtype=np.float32).reshape(test.shape)
-            energy += e
+        for at, y in sample.mapInPandas(part, "at bigint, y binary").groupBy("at").applyInPandas(add, "at bigint, y binary").toLocalIterator():  # one matrix in all
+            block = np.frombuffer(bytes(y))
+            if at < 0:
+                energy = float(block[0])
+            else:
+                total[at : at + _ROWS] = block.reshape(-1, test.shape[1])
         return total, energy
 
     rank = min(s.rank, size)
@@ -226,6 +287,17 @@ def found(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     rows with the same key are judged each on their own.  Without items or documents the result is empty.
     """
     s = settings or Settings()
+    size = items.agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + F.coalesce(F.length("answer"), F.lit(0)))).first()[0] or 0
+    rounds = max(1, -(-size // s.item_chars))
+    out = None
+    for i in range(rounds):
+        part = items if rounds == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(rounds)) == i)
+        got = _found(documents, part, key, text, s)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _found(documents: DataFrame, items: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
     spark = documents.sparkSession
     queries = read_items(items)
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
@@ -235,85 +307,58 @@ def found(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     encoded = materialize(encode(documents, key, text, queries.vocabulary), "codes")
     weight = idf(encoded, len(queries.vocabulary), s.window)
     basis = latent_basis(encoded, queries, weight, s)
-    folded, owner = [], []
-    for i, codes in enumerate(queries.texts):
+    index = []
+    for codes in queries.texts:
         _, _, z = passages(codes, weight, basis, s.window, s.item_stride)
-        folded.append(z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9))
-        owner += [i] * len(z)
-    index = np.concatenate(folded).astype(np.float32)
-    heads = np.flatnonzero(np.r_[True, np.diff(owner) > 0])
-    shared = spark.sparkContext.broadcast((weight, basis, index.T.copy(), heads, queries.ids, queries.texts, queries.answers))
+        index.append((z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32).T.copy())
+    triples = Triples(queries.texts, len(queries.vocabulary))
+    shared = spark.sparkContext.broadcast((weight, basis, index, triples, queries.ids, queries.texts, queries.answers))
 
-    def check(codes: np.ndarray, near: np.ndarray, item: int) -> tuple[float, bool] | None:
+    def check(codes: np.ndarray, near: list[int], item: int) -> tuple[float, bool] | None:
         """Candidates' check over the stretches of the text around the passages that came near."""
         _, _, _, _, _, texts, answers = shared.value
         reach = s.window + int(s.stretch * s.least)
         best, answered = 0.0, False
-        lo = hi = -1
-        for a in [*near.tolist(), None]:
-            if a is not None and lo >= 0 and a - reach <= hi:
-                hi = a + s.window + reach
-                continue
-            if lo >= 0:
-                part = codes[lo:hi]
-                share = longest_quote(texts[item], part.tolist(), s.least, s.kept, s.stretch)
-                if share > 0:
-                    best = max(best, share)
-                    answered |= _holds(codes[max(lo - 40, 0) : hi + 40], answers[item])
-            if a is not None:
-                lo, hi = max(a - reach, 0), a + s.window + reach
+        stretches: list[list[int]] = []
+        for a in near:
+            lo, hi = max(a - reach, 0), a + s.window + reach
+            # a quote that meets the rule holds one of fewer than piece / 4 words, so pieces that overlap by that lose none
+            if stretches and lo <= stretches[-1][1] and hi - stretches[-1][0] <= s.piece:
+                stretches[-1][1] = hi
+            else:
+                stretches.append([min(lo, max(stretches[-1][1] - s.piece // 4, 0)) if stretches and lo <= stretches[-1][1] else lo, hi])
+        for lo, hi in stretches:
+            share = longest_quote(texts[item], codes[lo:hi].tolist(), s.least, s.kept, s.stretch)
+            if share > 0:
+                best = max(best, share)
+                answered = answered or _holds(codes[max(lo - 40, 0) : hi + 40], answers[item])
         return (best, answered) if best else None
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weight, basis, index, heads, ids, texts, _ = shared.value
+        weight, basis, index, triples, ids, _, _ = shared.value
         for b in batches:
             out = []
-            for first, last in _blocks(b["codes"], s):
-                vectors, places = [], []
-                for d in range(first, last):
-                    codes = np.asarray(b["codes"].iloc[d], dtype=np.int32)
-                    if len(codes) < s.least * s.kept:
-                        continue
-                    at, z = promising(codes, weight, basis, s)
-                    if len(at):
-                        vectors.append(z)
-                        places.append((d, codes, at))
-                if not vectors:
+            for k, codes in zip(b["_k"], b["codes"]):
+                codes = np.asarray(codes, dtype=np.int32)
+                if len(codes) < s.least * s.kept:
                     continue
-                z = np.concatenate(vectors)
-                doc = np.repeat(np.arange(len(places)), [len(p[2]) for p in places])
-                at = np.concatenate([p[2] for p in places])
-                rows, hits = [], []
-                for a in range(0, len(z), s.block):
-                    best = np.maximum.reduceat(z[a : a + s.block] @ index, heads, axis=1)
-                    r, i = np.nonzero(best >= s.cosine)
-                    rows.append(r + a)
-                    hits.append(i)
-                rows, hits = np.concatenate(rows), np.concatenate(hits)
-                order = np.lexsort((rows, hits, doc[rows]))
-                rows, hits = rows[order], hits[order]
-                cut = np.flatnonzero(np.r_[True, (np.diff(doc[rows]) != 0) | (np.diff(hits) != 0)]) if len(rows) else []
-                for x, y in zip(cut, [*cut[1:], len(rows)]):
-                    d, codes, _ = places[doc[rows[x]]]
-                    if got := check(codes, at[rows[x:y]], int(hits[x])):
-                        out.append((b["_k"].iloc[d], ids[hits[x]], float(got[0]), bool(got[1])))
+                at, item = promising(codes, weight, triples, s)
+                if not len(at):
+                    continue
+                places, row = np.unique(at, return_inverse=True)
+                z = folded(codes, places, weight, basis, s)
+                order = np.argsort(item, kind="stable")
+                heads = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0])
+                for x, y in zip(heads, [*heads[1:], len(order)]):
+                    rows, i = row[order[x:y]], int(item[order[x]])
+                    near = places[rows[(z[rows] @ index[i]).max(1) >= s.cosine]]
+                    if len(near) and (got := check(codes, near.tolist(), i)):
+                        out.append((k, ids[i], float(got[0]), bool(got[1])))
             yield pd.DataFrame(out, columns=[key, "item_id", "agreement", "answer_near"])
 
     return spread(encoded.select(F.col(key).alias("_k"), "codes")).mapInPandas(search, schema)
 
 
-def _blocks(texts: pd.Series, s: Settings) -> Iterator[tuple[int, int]]:
-    """Runs of texts with about four blocks of passages."""
-    first, n = 0, 0
-    for d, codes in enumerate(texts):
-        n += len(codes) // s.stride + 1
-        if n >= 4 * s.block:
-            yield first, d + 1
-            first, n = d + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def _holds(codes: np.ndarray, answer: np.ndarray) -> bool:
     k = len(answer)
     return bool(k) and any(np.array_equal(codes[i : i + k], answer) for i in np.flatnonzero(codes == answer[0]))

@@ -5,12 +5,18 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Sequence
 
-#: Longest run of words that may be missing, exchanged or put in between two words that agree.
-_GAP = 6
 
+def longest_gap(least: int, kept: float) -> int:
+    """Longest run of missing, exchanged or put-in words that a quote can need.
 
-def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Best chain of agreeing words (place in the item, place in the text), both rising, with short gaps.
+    If a run with a longer gap meets the rule, the part before or after the gap meets it too: both parts can only be short
+    of it with fewer than ``least`` words each, and then 2 * (least - 1) agreeing words bear no more than this.
+    """
+    return int(2 * (least - 1) * (1 - kept) / kept + 1e-9)
+
+
+def chain(pairs: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """Best chain of agreeing words (place in the item, place in the text), both rising, with gaps of at most ``gap`` words.
 
     An agreeing word counts 1, every word of a gap, on the side that has more of them, costs 0.3.
     """
@@ -19,12 +25,12 @@ def chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     score, back, best = [0.0] * len(pairs), [-1] * len(pairs), -1
     for n, (i, j) in enumerate(pairs):
         top, prev = 0.0, -1
-        for di in range(1, _GAP + 2):
+        for di in range(1, gap + 2):
             row = at.get(i - di)
             if not row:
                 continue
             k = bisect_left(row, (j, -1)) - 1
-            while k >= 0 and j - row[k][0] <= _GAP + 1:
+            while k >= 0 and j - row[k][0] <= gap + 1:
                 s = score[row[k][1]] - 0.3 * (max(di, j - row[k][0]) - 1)
                 if s > top:
                     top, prev = s, row[k][1]
@@ -48,9 +54,9 @@ def longest_quote(item: Sequence[int], text: Sequence[int], least: int, kept: fl
         if w >= 0:
             where.setdefault(w, []).append(i)
     pairs = [(i, j) for j, w in enumerate(text) for i in where.get(w, ())]
-    best = 0.0
+    best, gap = 0.0, longest_gap(least, kept)
     while len(pairs) >= least * kept:
-        path = chain(pairs)
+        path = chain(pairs, gap)
         if len(path) < least * kept:
             break
         for a in range(len(path)):

@@ -38,6 +38,26 @@ def test_quotes():
     assert lq(item, item[10:20][::-1] + item[20:30]) == 0.0
     assert lq(item, item[0:8] + [-1] * 30 + item[8:16]) == 0.0
     assert lq([], item) == lq(item, []) == 0.0
+    assert lq(item, item[0:14] + item[21:35]) == 0.8  # seven successive words missing
+    assert lq(item, item[0:14] + item[22:36]) == 0.0
+    assert quotes.longest_gap(15, 0.8) == 7
+
+
+def test_triples_say_which_items_a_text_can_quote():
+    np = pytest.importorskip("numpy")
+    items = [np.array([0, 1, 2, 3]), np.array([1, 2, 3, 4]), np.array([], dtype=np.int32), np.array([5])]
+    at, item = leakage.Triples(items, 6).of(np.array([-1, 1, 2, 3, 0, 1, 2, -1]))
+    assert sorted(zip(at.tolist(), item.tolist())) == [(1, 0), (1, 1), (4, 0)]
+    assert len(leakage.Triples(items, 6).of(np.array([1, 2]))[0]) == len(leakage.Triples([], 0).of(np.array([1, 2, 3]))[0]) == 0
+
+
+def test_a_text_that_repeats_an_item_and_items_in_rounds(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, " ".join([text] * 400)), (2, " ".join(["w3 w4 w5 x"] * 2000) + " " + " ".join(f"w{i}" for i in range(9, 24))), (3, "w3 w4 w5 x " * 50)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, text + f" e{i}", "w7") for i in range(5)], "item_id long, text string, answer string")
+    want = {(d, i) for d in (1, 2) for i in range(5)}
+    assert {(r.doc_id, r.item_id) for r in leakage.found(docs, items).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leakage.found(docs, items, settings=leakage.Settings(item_chars=400)).collect()} == want
 
 
 FILLER = "the usual answer did nothing for my garden and nobody here seems to mind while a spare bucket stays near every gate".split()
