@@ -40,7 +40,7 @@ def test_segments():
 
 def test_held_out_documents_get_their_subjects(spark):
     docs, truth = corpus(240)
-    extra = [(1000, None, "x"), (1001, "", "x"), (1002, "nope, still the same", "x"), (1003, "```\ncourt verdict\n```", "x"), (1004, "the tsriker and the gaol", "x")]
+    extra = [(1000, None, "x"), (1001, "", "x"), (1002, "nope, still the same", "x"), (1003, "```\ncourt verdict\n```", "x"), (1004, "striker", "x"), (None, "court verdict, tenant and clause", "x")]
     d = spark.createDataFrame(docs + extra, "doc_id long, text string, subject string")
     labels = [(k, s, "desk") for k in range(120) for s in truth[k]] + [(5, "unlisted", "d"), (7777, "law", "d"), (None, "law", "d"), (3, None, "d"), (3, "sport" if "sport" not in truth[3] else "law", "wrong")]
     t = spark.createDataFrame(labels, "doc_id long, subject string, labelled_by string")
@@ -55,20 +55,36 @@ def test_held_out_documents_get_their_subjects(spark):
 
 
 def test_pairs_are_counted_over_whole_segments(spark):
-    """Two words make a pair however many words of the segment stand between them in the alphabet."""
+    """Two words make a pair however many words of the segment stand between them."""
     between = [f"m{i}" for i in range(10)]
-    lines = [(["zulu", *between, "alpha"], "a")] * 30 + [(["alpha", "x"], "b")] * 30 + [(["y", "zulu"], "c")] * 30 + [([f"w{c}"], c) for c in "def" for _ in range(42)]
-    got = subjects.mine(spark.createDataFrame(lines, "words array<string>, subject string"), list("abcdef"), 2, subjects.Settings())
-    assert ("alpha", "zulu") in got.pairs and int(got.pairs["alpha", "zulu"].argmax()) == 0
+    lines = [(" ".join(["zulu", *between, "alpha"]), "a")] * 30 + [("alpha x", "b")] * 30 + [("y zulu", "c")] * 30 + [(f"w{c}", c) for c in "def" for _ in range(42)]
+    got = subjects.mine(spark.createDataFrame(lines, "words string, subject string"), list("abcdef"), 2, subjects.Settings())
+    pairs = {(int(k) >> 32, int(k) & 0xFFFFFFFF): e for k, e in zip(got.keys, got.pairs)}
+    assert int(pairs[tuple(sorted((got.codes["alpha"], got.codes["zulu"])))].argmax()) == 0
+    alone = subjects.mine(spark.createDataFrame(lines, "words string, subject string"), list("abcdef"), 2, subjects.Settings(pairs=False))
+    assert not len(alone.keys) and len(alone.codes) == int(alone.alone.sum())
+
+
+def test_patterns_and_counts_agree_with_brute_force(spark):
+    rnd = random.Random(3)
+    lines = [(" ".join(rnd.choices("abcdefgh", weights=range(1, 9), k=rnd.randint(1, 9))), rnd.choice("xy")) for _ in range(300)]
+    codes = {w: i for i, w in enumerate("hgfedcba")}
+    line, code = subjects.transactions([w for w, _ in lines], codes)
+    first, second = subjects.grown(line, code)
+    got = sorted((int(line[a]), int(code[a]), int(code[b])) for a, b in zip(first, second))
+    assert got == sorted((i, p, q) for i, (w, _) in enumerate(lines) for c in [sorted({codes[x] for x in w.split()})] for n, p in enumerate(c) for q in c[n + 1 :])
 
 
 def test_a_pair_stands_in_for_its_words():
     e = lambda *x: np.log(np.array(x))
-    r = subjects.Rules(["a", "b"], {"season": e(1.2, 0.8), "onion": e(1.9, 0.1), "umpire": e(0.1, 1.9)}, {("season", "umpire"): e(0.05, 1.95)})
-    assert np.allclose(r.evidence(["season", "umpire"]), e(0.05, 1.95)) and np.allclose(r.evidence(["season", "onion"]), e(1.2, 0.8) + e(1.9, 0.1))
-    assert r.evidence(["nothing"]) is None and r.known(["onoin"]) == {"onion"} and r.shares([["x"]]) is None
-    share, posterior = r.shares([["onion"], ["x"], ["umpire"], ["umpire"]])
-    assert share[1] > share[0] and posterior[1] is None
+    codes = {"season": 0, "onion": 1, "umpire": 2}
+    r = subjects.Rules(["a", "b"], codes, np.stack([e(1.2, 0.8), e(1.9, 0.1), e(0.1, 1.9)]), np.ones(3, dtype=bool), np.array([2]), e(0.05, 1.95)[None])
+    total, speaks = r.evidence(["season umpire", "season onion", "nothing", ""])
+    assert np.allclose(total[0], e(0.05, 1.95)) and np.allclose(total[1], e(1.2, 0.8) + e(1.9, 0.1)) and speaks.tolist() == [True, True, False, False]
+    share, says, doc, posterior = r.shares(["x", "onion\nx\numpire\numpire", ""])
+    assert says.tolist() == [False, True, False] and doc.tolist() == [0, 1, 1, 1, 1, 2]
+    assert share[1, 1] > share[1, 0] and np.allclose(posterior[2], share[1])
+    assert subjects.Rules.none(["a"]).shares(["x"])[1].tolist() == [False]
 
 
 def test_the_cut_is_calibrated_within_its_range():
