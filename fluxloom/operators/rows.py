@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
@@ -18,6 +19,9 @@ from fluxloom.expressions.compiler import failing
 from fluxloom.storage import ship
 
 
+_LOG = logging.getLogger("fluxloom.step")
+
+
 def coded(text: str, error: ExpressionError, **args: object) -> Coded:
     return Coded(f"dsl.{error.kind}", expr=text, detail=error, **{**error.args_, **args})
 
@@ -124,7 +128,8 @@ def _with_rows(arm: DataFrame, like: DataFrame) -> DataFrame:
 
 
 class Context:
-    """What a Python step may use: ``emit`` gives further records, ahead of the returned one; ``log`` notes a line."""
+    """What a Python step may use: ``emit`` gives further records, ahead of the returned one; ``log`` notes a line in the
+    executor's log (logger ``fluxloom.step``)."""
 
     def __init__(self):
         self.out: list[dict] = []
@@ -135,6 +140,7 @@ class Context:
 
     def log(self, line: object) -> None:
         self.lines.append(str(line))
+        _LOG.info("%s", line)
 
 
 def _checked(record: Any, source: dict) -> dict:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fluxloom.errors import Coded
@@ -18,11 +18,13 @@ def _key_row(events: DataFrame, keys: Sequence[str]) -> list:
     return [F.when(F.col("op") == "d", F.col(f"before.`{k}`")).otherwise(F.col(f"after.`{k}`")).alias(k) if k in before else F.col(f"after.`{k}`").alias(k) for k in keys]
 
 
-def steps_of(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Events as (keys, ``_seq``, ``alive``, ``row``): an update that moves its key also ends the row it leaves."""
+def steps_of(events: DataFrame, keys: Sequence[str], counted: Observation | None = None) -> DataFrame:
+    """Events as (keys, ``_seq``, ``alive``, ``row``): an update that moves its key also ends the row it leaves.  ``counted``
+    observes the events, as ``n``, when the steps are computed."""
     rows = events.where("op <> 'ddl'")
     at = _key_row(rows, keys)
     sets = rows.select(*at, "_seq", (F.col("op") != "d").alias("alive"), F.col("after").alias("row"))
+    sets = sets if counted is None else sets.observe(counted, F.count(F.lit(1)).alias("n"))
     before = rows.schema["before"].dataType.names
     if not set(keys) <= set(before):
         return sets
@@ -43,6 +45,17 @@ def latest(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     return last.where("_l.alive").select("_l.row.*")
 
 
+def first_images(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows alive per key after all events, each as it was first set (since it last ended, if it ever did)."""
+    steps = steps_of(events, keys)
+    ends = steps.where(~F.col("alive")).groupBy(*keys).agg(F.max("_seq").alias("_end")).select(*[F.col(k).alias(f"_e{i}") for i, k in enumerate(keys)], "_end")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_e{i}"))
+    since = steps.where("alive").join(ends, on, "left").where("_end is null or _seq >= _end")
+    return since.groupBy(*keys).agg(F.min_by("row", "_seq").alias("_r")).select("_r.*")
+
+
 def append_rows(events: DataFrame) -> DataFrame:
     """Every event as an inserted row: its ``after``, else its ``before``; ddl is no row."""
     after, before = events.schema["after"].dataType, events.schema["before"].dataType

@@ -35,12 +35,12 @@ class Branch:
     path: str = ""  # the steps it came through
     id: str = ""  # its own name in an output: source, steps, table, and place among equals
 
-    def state(self) -> DataFrame:
-        """The rows alive, with ``_seq``; without a key every event is a row."""
+    def state(self, first: bool = False) -> DataFrame:
+        """The rows alive, with ``_seq``, as they are, or as they were ``first`` set; without a key every event is a row."""
         if not self.key:
             return targets.append_rows(self.events).withColumn("_seq", F.lit(0).cast("bigint"))
         kept = self.events.withColumn("after", F.when(F.col("after").isNotNull(), F.col("after").withField("_seq", F.col("_seq"))))
-        return targets.latest(kept, self.key)
+        return (targets.first_images if first else targets.latest)(kept, self.key)
 
 
 @dataclass
@@ -150,9 +150,19 @@ def resolve(ref: str, scans: Mapping[tuple[str, str], Branch], nodes: Mapping[st
     raise Coded("dsl.missing-reference", ref=ref, path="from")
 
 
+def _child(e: dict) -> str:
+    """The table of a child: its alias, or the first images of it."""
+    return f"{e['from']}, as first set" if e.get("ignoreUpdates") else e["from"]
+
+
+def _frozen(items: list[dict] | None) -> set[str]:
+    """Aliases of which some child wants the first images."""
+    return {a for e in items or [] for a in [*([e["from"]] if e.get("ignoreUpdates") else []), *_frozen(e.get("embed"))]}
+
+
 def _embeds(items: list[dict] | None) -> tuple[nesting.Embed, ...]:
     return tuple(
-        nesting.Embed(e["from"], dict(e["on"]), e.get("path") or e["from"], e.get("as") or "array", tuple(e.get("arrayKey") or ()), _embeds(e.get("embed")), bool(e.get("ignoreUpdates")))
+        nesting.Embed(_child(e), dict(e["on"]), e.get("path") or e["from"], e.get("as") or "array", tuple(e.get("arrayKey") or ()), _embeds(e.get("embed")), bool(e.get("ignoreUpdates")))
         for e in items or []
     )
 
@@ -184,12 +194,14 @@ def _step(body: dict, inputs: dict[str, list[Branch]], policy: str, dead: list[D
         root = body["root"]
         alias = root["from"]
         key = tuple(root.get("key") or ([body["primary_key"]] if body.get("primary_key") else inputs[alias][0].key))
+        frozen = _frozen(root.get("embed"))
         tables = {}
         for a, bs in inputs.items():
-            parts = [b.state() for b in bs]
-            tables[a] = parts[0]
-            for part in parts[1:]:
-                tables[a] = tables[a].unionByName(part, allowMissingColumns=True)
+            for name_, first in [(a, False), *([(_child({"from": a, "ignoreUpdates": True}), True)] if a in frozen else [])]:
+                parts = [b.state(first) for b in bs]
+                tables[name_] = parts[0]
+                for part in parts[1:]:
+                    tables[name_] = tables[name_].unionByName(part, allowMissingColumns=True)
         out = nesting.nest(tables, nesting.Root(alias, key, _embeds(root.get("embed"))))
         return [Branch("", name, envelope.snapshot_of(out, name), key, frozenset({"after"}))]
     else:

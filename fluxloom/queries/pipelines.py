@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from fluxloom.operators import nest as nesting
 from fluxloom.functions.messages import plain
 from fluxloom.operators import rows, targets
 from fluxloom.queries.feeds import read
+from fluxloom.queries.relational import joined, plain_sql
 from fluxloom.sources import tables as source_tables
 
 #: Rows that snapshot events never lack.
@@ -207,10 +206,6 @@ def nest_array_key_dedup(spark, sf):
     return out.select("p_partkey", F.size("lines").alias("n_suppliers"))
 
 
-def _joined(spark: SparkSession, sf: str, aliases: dict[str, str], sql: str) -> DataFrame:
-    return nesting.sql_join({a: read(spark, sf, t) for a, t in aliases.items()}, sql)
-
-
 _JOIN_SQL = {
     "join_wide": ({"o": "orders", "c": "customer", "n": "nation"}, "SELECT o.o_orderkey, c.c_name, n.n_name FROM o JOIN c ON o.o_custkey = c.c_custkey JOIN n ON c.c_nationkey = n.n_nationkey WHERE o.o_totalprice > 100000"),
     "join_agg": ({"c": "customer", "o": "orders"}, "SELECT c.c_custkey AS customer_id, count(*) AS order_cnt, max(o.o_totalprice) AS dearest FROM c JOIN o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey"),
@@ -226,15 +221,9 @@ _JOIN_SQL = {
 }
 
 
-def join_asof(spark, sf):
-    """For every purchase the last view of the same user before it, by a grouped inequality join on the user."""
-    sql = "SELECT p.event_id, max_by(v.event_id, struct(v.ts, v.event_id)) AS view_id FROM e p JOIN e v ON p.user_id = v.user_id AND v.ts <= p.ts WHERE p.event_type = 'purchase' AND v.event_type = 'view' GROUP BY p.event_id"
-    return _joined(spark, sf, {"e": "events"}, sql)
-
-
 def join_time_windows(spark, sf):
     sql = "SELECT event_type, count(*) AS n, window(ts, '1 day').start AS day FROM e GROUP BY event_type, window(ts, '1 day')"
-    return _joined(spark, sf, {"e": "events"}, sql).withColumn("day", F.col("day").cast("date").cast("string"))
+    return joined(spark, sf, {"e": "events"}, sql).withColumn("day", F.col("day").cast("date").cast("string"))
 
 
 def view_latest(spark, sf):
@@ -323,7 +312,7 @@ def stream_upsert(spark, sf):
 _NAMED = [
     snapshot_scan, table_select_regex, table_filter, filter_predicate, filter_and_or_ternary, filter_string_fns, filter_in_list, filter_or_absorbs_error, filter_ddl_bypass, map_rename_drop_literal,
     map_computed_arith, map_int_div_mod, map_string_concat, map_timestamp_parts, map_order_passthrough, cel_list_macros, union_bag, fan_in_filter, fanout_exclusive, upsert_latest, upsert_with_deletes,
-    append_reforge, snapshot_cdc_overlap, start_from_instant, ddl_policy_ignore, dead_letter, nest_array, nest_two_level, nest_object, nest_array_key_dedup, join_asof, join_time_windows, view_latest,
+    append_reforge, snapshot_cdc_overlap, start_from_instant, ddl_policy_ignore, dead_letter, nest_array, nest_two_level, nest_object, nest_array_key_dedup, join_time_windows, view_latest,
     push_envelope, push_projection, rename_tables, py_fanout, pipeline_documents, stream_upsert,
 ]
 
@@ -331,7 +320,7 @@ _NAMED = [
 def queries() -> dict:
     out = {f.__name__: f for f in _NAMED}
     for name, (aliases, sql) in _JOIN_SQL.items():
-        out[name] = lambda spark, sf, a=aliases, q=sql: _joined(spark, sf, a, q)
+        out[name] = lambda spark, sf, a=aliases, q=sql: joined(spark, sf, a, q)
     return out
 
 
@@ -371,7 +360,6 @@ def oracle_sql() -> dict:
         "nest_two_level": "SELECT r_name, n_name, count(s_suppkey) AS n_suppliers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2",
         "nest_object": "SELECT c_custkey, max(o_orderkey) AS latest_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
         "nest_array_key_dedup": "SELECT p_partkey, count(DISTINCT l_suppkey) AS n_suppliers FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
-        "join_asof": "SELECT p.event_id, arg_max(v.event_id, (v.ts, v.event_id)) AS view_id FROM events p JOIN events v ON p.user_id = v.user_id AND v.ts <= p.ts WHERE p.event_type = 'purchase' AND v.event_type = 'view' GROUP BY 1",
         "join_time_windows": "SELECT event_type, count(*) AS n, ts::DATE::VARCHAR AS day FROM events GROUP BY 1, 3",
         "view_latest": "SELECT event_type, count(*) AS users FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk = 1 AND event_type <> 'error' GROUP BY 1",
         "push_envelope": "SELECT 'r' AS op, r_name AS name, 'region' AS src FROM region",
@@ -386,7 +374,5 @@ def oracle_sql() -> dict:
         "py_fanout": "SELECT 'i' AS op, 'even' AS src, n_nationkey, n_name FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 2 = 0 UNION ALL SELECT 'r', 'nation', n_nationkey, lower(n_name) FROM nation WHERE n_regionkey NOT IN (2, 3)",
     }
     for name, (aliases, sql) in _JOIN_SQL.items():
-        for a, t in aliases.items():
-            sql = re.sub(rf"\b(FROM|JOIN) {a}\b", rf"\1 {t} AS {a}", sql)
-        out[name] = sql
+        out[name] = plain_sql(aliases, sql)
     return out

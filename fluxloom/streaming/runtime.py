@@ -6,17 +6,19 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from threading import Lock
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fluxloom.errors import Coded, first_code, one_line
 from fluxloom.manifest import Manifest
 from fluxloom.operators import targets
+from fluxloom.plans import views
 from fluxloom.plans.pipeline import Branch, Output, Plan, build
 from fluxloom.sources import tables as sel
 from fluxloom.sources.readers import Reader
 from fluxloom.spec import Workspace, content_hash
+from fluxloom.storage import materialize
 from fluxloom.streaming.tables import AppendTable, UpsertTable
 
 #: From which states a verb is legal, and where it leads.
@@ -29,7 +31,7 @@ VERBS = {
 
 
 @dataclass
-class Observation:
+class Status:
     """What is known of a run.  ``record_count``: events that reached the targets (of nest and join the last result's);
     ``error_count``: events in the dead-letter table, and the failure; ``snapshot_rows``: rows per table."""
 
@@ -43,37 +45,59 @@ class Observation:
     epoch: int = 0
 
 
+class Count(Observation):
+    """Rows that went by while something was computed."""
+
+    @property
+    def n(self) -> int:
+        return int(self.get.get("n") or 0)
+
+
 def _branch_tables(b: Branch) -> list[str]:
     """Logical tables of a branch; a step that may re-route events is asked which (one row a table)."""
     return sorted(r[0] for r in b.events.select("src").distinct().collect()) if b.rerouted else [b.table]
 
 
-def _writes(spark: SparkSession, out: Output, root: str) -> Iterator[tuple[str, AppendTable | UpsertTable, DataFrame, DataFrame]]:
-    """What a sync, push or view writes under ``root``: a name that stays the same, the table, what it takes, and the events."""
+@dataclass
+class Write:
+    """One table's share of an output: a name that stays the same, the table, what it takes, and the count of events that is
+    observed while it is written."""
+
+    name: str
+    table: AppendTable | UpsertTable
+    rows: DataFrame
+    counted: Count
+
+
+def _writes(spark: SparkSession, out: Output, root: str) -> Iterator[Write]:
+    """What a sync, push or view writes under ``root``."""
     rename = targets.Rename(**{**(out.spec.get("rename") or {}), "map": dict((out.spec.get("rename") or {}).get("map") or {})})
     mode = out.spec.get("write_mode") or "upsert"
-    for b, t in [(b, t) for b in out.branches for t in _branch_tables(b)]:
-        name, events = f"{out.id}/{b.id}/{t}", b.events.where(F.col("src") == t) if b.rerouted else b.events
+    # what a step may have re-routed is computed once, then taken apart by table
+    branches = [replace(b, events=materialize(b.events, "rerouted")) if b.rerouted else b for b in out.branches]
+    parts = [(b, t) for b in branches for t in _branch_tables(b)]
+    if out.kind == "sync" and mode == "append" and len({t for _, t in parts}) > 1:
+        raise Coded("connector.write-failed", detail="append takes one table per batch")
+    for b, t in parts:
+        name, events, counted = f"{out.id}/{b.id}/{t}", b.events.where(F.col("src") == t) if b.rerouted else b.events, Count()
+        count = lambda df, counted=counted: df.observe(counted, F.count(F.lit(1)).alias("n"))
         if out.kind == "push":
-            yield name, AppendTable(spark, f"{root}/{out.spec.get('topic') or out.id}"), targets.push_json(events, out.spec.get("format")), events
-        else:
-            events = targets.apply_ddl_policy(events, out.spec.get("ddl") or ("ignore" if out.kind == "view" else "fail"))
-            path = f"{root}/{out.id if out.kind == 'view' else rename.target(t)}"
-            if mode == "append" or not b.key:
-                yield name, AppendTable(spark, path), targets.append_rows(events), events
-            else:
-                yield name, UpsertTable(spark, path, b.key), targets.steps_of(events, b.key), events
+            yield Write(name, AppendTable(spark, f"{root}/{out.spec.get('topic') or out.id}"), count(targets.push_json(events, out.spec.get("format"))), counted)
+            continue
+        events = targets.apply_ddl_policy(events, out.spec.get("ddl") or ("ignore" if out.kind == "view" else "fail"))
+        path = f"{root}/{out.id if out.kind == 'view' else rename.target(t)}"
+        if mode == "append" or not b.key:
+            yield Write(name, AppendTable(spark, path), count(targets.append_rows(events)), counted)
+            continue
+        table = UpsertTable(spark, path, b.key)
+        if out.kind == "view" and out.spec.get("schema") and (held := table.read()) is not None:
+            views.evolve(held.limit(0), events.select("after.*").limit(0), out.spec["schema"])
+        yield Write(name, table, targets.steps_of(events, b.key, counted), counted)
 
 
 def write_output(spark: SparkSession, out: Output, root: str, batch: int | None = None, stream: str = "") -> int:
-    """Write one sync, push or view under ``root``; the number of events it took."""
-    if out.spec.get("write_mode") == "append" and batch is not None and out.spec.get("single_table") and len({t for b in out.branches for t in _branch_tables(b)}) > 1:
-        raise Coded("connector.write-failed", detail="append takes one table per batch")
-    taken = 0
-    for name, table, rows, events in _writes(spark, out, root):
-        table.apply(rows, batch, f"{stream}/{name}")
-        taken += events.count()
-    return taken
+    """Write one sync, push or view under ``root``; the number of events it took, 0 for a batch that was there."""
+    return sum(w.counted.n for w in list(_writes(spark, out, root)) if w.table.apply(w.rows, batch, f"{stream}/{w.name}"))
 
 
 class Pipeline:
@@ -85,7 +109,7 @@ class Pipeline:
 
     def __init__(self, spark: SparkSession, ws: Workspace, pipeline: str, readers: Mapping[str, Reader], target: str):
         self.spark, self.ws, self.id, self.readers, self.target = spark, ws, pipeline, readers, target.rstrip("/")
-        self.seen = Observation()
+        self.seen = Status()
         self.queries: list[StreamingQuery] = []
         self._writing = Lock()
         if pipeline not in ws.by_id:
@@ -101,22 +125,22 @@ class Pipeline:
     def _folder(self, out: Output) -> str:
         return f"{self.target}/{out.spec.get('source') or self.id}"
 
-    def start(self, follow: bool = False, files_per_trigger: int | None = None) -> Observation:
+    def start(self, follow: bool = False, files_per_trigger: int | None = None) -> Status:
         """Run at the latest applied revision: all there is (then COMPLETED), or, with ``follow``, on as a stream."""
         to = self._go("start")
-        self.seen = Observation(state=to, revision=content_hash(self.ws.by_id[self.id]), epoch=self.seen.epoch)
+        self.seen = Status(state=to, revision=content_hash(self.ws.by_id[self.id]), epoch=self.seen.epoch)
         return self._run(follow, files_per_trigger)
 
-    def resume(self, follow: bool = False, files_per_trigger: int | None = None) -> Observation:
+    def resume(self, follow: bool = False, files_per_trigger: int | None = None) -> Status:
         self.seen.state = self._go("resume")
         return self._run(follow, files_per_trigger)
 
-    def pause(self) -> Observation:
+    def pause(self) -> Status:
         self.seen.state = self._go("pause")
         self._halt()
         return self.seen
 
-    def stop(self) -> Observation:
+    def stop(self) -> Status:
         self.seen.state = self._go("stop")
         self._halt()
         return self.seen
@@ -126,15 +150,17 @@ class Pipeline:
             q.stop()
         self.queries = []
 
-    def _fail(self, error: BaseException) -> Observation:
+    def _fail(self, error: BaseException) -> Status:
         self._halt()
         self.seen.state, self.seen.error_count = "FAILED", self.seen.error_count + 1
         self.seen.error_code, self.seen.error_detail = first_code(error), one_line(error)
         return self.seen
 
-    def _run(self, follow: bool, files_per_trigger: int | None) -> Observation:
+    def _run(self, follow: bool, files_per_trigger: int | None) -> Status:
         try:
-            settings = self.ws.by_id[self.id].body.get("settings") or {}
+            p = self.ws.by_id[self.id]
+            settings = p.body.get("settings") or {}
+            self.ws.check_types(p, {s.id: {t: m.row for t, m in self.readers[s.id].discover().items()} for s in self.ws.sources(p)})
             self._starts()
             if self._stateful():
                 self._recompute()
@@ -247,14 +273,15 @@ class Pipeline:
             plan = build(self.ws, self.id, self.readers, starts=self._starts())
             tables: dict[str, AppendTable | UpsertTable] = {}
             owned: dict[str, dict[str, DataFrame]] = {}
-            taken = 0
+            counts = []
             for out in plan.outputs:
-                for name, table, rows, events in _writes(self.spark, out, self._folder(out)) if out.kind != "query" else ():
-                    tables.setdefault(table.path, table)
-                    owned.setdefault(table.path, {})[f"{self.id}/{name}"] = rows
-                    taken += events.count()
+                for w in _writes(self.spark, out, self._folder(out)) if out.kind != "query" else ():
+                    tables.setdefault(w.table.path, w.table)
+                    owned.setdefault(w.table.path, {})[f"{self.id}/{w.name}"] = w.rows
+                    counts.append(w.counted)
             for path, table in tables.items():
                 table.replace(owned[path])
+            taken = sum(c.n for c in counts)
             if plan.dead:
                 self._dead().replace({b.id: dead for b, dead in zip(plan.dead_of, plan.dead)})
             self.seen.record_count, self.seen.error_count = taken, sum(dead.count() for dead in plan.dead)
@@ -277,7 +304,7 @@ class Pipeline:
         kinds = {(self.ws.by_id[s["use"]].body if "use" in s else s)["type"] for s in steps}
         return bool(kinds & {"nest", "join"})
 
-    def process_available(self) -> Observation:
+    def process_available(self) -> Status:
         """Wait until the running tail has read all there is now."""
         try:
             for q in self.queries:
@@ -291,7 +318,15 @@ class Pipeline:
         path = f"{self.target}/{target}/{name}"
         return UpsertTable(self.spark, path, keys).read() if keys else AppendTable(self.spark, path).read()
 
-    def status(self) -> Observation:
+    def view(self, name: str) -> DataFrame:
+        """A view as its last run left it, in the storage tiers it asks for and as temp view ``name``."""
+        out = next((o for o in self.plan().outputs if o.kind == "view" and o.id == name), None)
+        rows = None if out is None else UpsertTable(self.spark, f"{self._folder(out)}/{name}", out.branches[0].key).read()
+        if rows is None:
+            raise Coded("dsl.missing-reference", ref=name, path="view")
+        return views.store(rows, name, out.spec.get("storage"), f"{self.target}/_views")
+
+    def status(self) -> Status:
         return self.seen
 
     def plan(self) -> Plan:
