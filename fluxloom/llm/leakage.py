@@ -56,6 +56,8 @@ class Settings:
     kept: float = 0.8  # share of them that must agree
     stretch: float = 1.5  # length of the stretch of text, in item words
     block: int = 2048  # passages compared at once
+    reach: int = 48  # words that the shortest part of a text that meets the rule takes at most, without words put in
+    block_words: int = 50_000  # words of the texts that are searched at once; a longer text is searched whole
     piece: int = 512  # words of a text that are aligned with an item at once; longer stretches are taken in overlapping pieces
 
 
@@ -145,38 +147,72 @@ class Triples:
         return np.repeat(place, n), self.items[np.repeat(self.first[t], n) + offset]
 
 
-def promising(codes: np.ndarray, weight: np.ndarray, triples: Triples, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """(start, item) of the passages of one text that hold a triple of the item and can reach the cosine at all: it is at
-    most the share of the passage's weight that lies in the vocabulary."""
-    place, item = triples.of(codes)
-    if not len(place):
-        return place, item
-    at = starts(len(codes), s.window, s.stride)
+@dataclass
+class Block:
+    """Some texts in a row, a gap between two: codes, where each text ends, and the starts of all passages with their texts."""
+
+    codes: np.ndarray
+    first: np.ndarray
+    end: np.ndarray
+    at: np.ndarray
+    text: np.ndarray
+
+    @staticmethod
+    def of(texts: list[np.ndarray], s: Settings) -> "Block":
+        n = np.array([len(t) for t in texts], dtype=np.int64)
+        first = np.cumsum(n + 1) - n - 1
+        gap = np.full(1, _GAP, dtype=np.int64)
+        codes = np.concatenate([x for t in texts for x in (t, gap)]).astype(np.int64)
+        last = np.maximum(n - s.window, 0)
+        count = np.where(n > 0, last // s.stride + 1 + (last % s.stride > 0), 0)
+        text = np.repeat(np.arange(len(texts)), count)
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return Block(codes, first, first + n, first[text] + np.minimum(nth * s.stride, last[text]), text)
+
+
+#: Code of the place between two texts.
+_GAP = -2
+
+
+def promising(b: Block, weight: np.ndarray, triples: Triples, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, item) of the pairs that share a triple and can reach the cosine at all, and the (text, item) pairs, in one
+    number, that can be a quote: the cosine is at most the share of the passage's weight that lies in the vocabulary, and a
+    quote of n words with a share of ``kept`` holds n - 2 - 3 (1 - kept) n triples, no fewer than one of ``least`` words."""
+    place, item = triples.of(b.codes)
+    of = np.searchsorted(b.end, place, side="right")
     # the passages over a triple: those that start from ``window - 3`` words before it up to it
-    lo, hi = np.searchsorted(at, place - (s.window - 3)), np.searchsorted(at, place, side="right")
+    lo, hi = np.searchsorted(b.at, place - (s.window - 3)), np.searchsorted(b.at, place, side="right")
     n = np.maximum(hi - lo, 0)
     passage = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    both = np.unique(np.stack([passage, np.repeat(item, n)]), axis=1)
-    w = weight[codes]
-    own = np.where(codes >= 0, w, 0)
-    norm2, own2 = _sums(w * w, at, s.window), _sums(own * own, at, s.window)
-    able = s.window * own2 >= s.cosine**2 * norm2  # the squared length in the vocabulary, were it all one word
-    both = both[:, able[both[0]]]
-    return at[both[0]], both[1]
-
-
-def folded(codes: np.ndarray, at: np.ndarray, weight: np.ndarray, basis: np.ndarray, s: Settings) -> np.ndarray:
-    """The passages of one text at some starts, as vectors of the latent space over the passages' TF-IDF norms."""
-    out = np.zeros((len(at), basis.shape[1]), dtype=np.float32)
-    w = weight[codes]
-    own = np.where(codes >= 0, w, 0)
-    for a in range(0, len(at), s.block):  # a text may be very long
-        place = at[a : a + s.block, None] + np.arange(s.window)
-        inside = place < len(codes)
-        place = np.minimum(place, len(codes) - 1)
-        z = np.einsum("pw,pwr->pr", np.where(inside, own[place], 0).astype(np.float32), basis[codes[place]], optimize=True)
-        length2 = np.where(inside, w[place] ** 2, 0).sum(1)
-        out[a : a + s.block] = z / np.sqrt(np.maximum(length2, 1e-12))[:, None].astype(np.float32)
+    mine = b.text[passage] == np.repeat(of, n) if len(passage) else np.zeros(0, dtype=bool)
+    many = len(triples.first) and int(triples.items.max(initial=0)) + 1
+    both = np.unique(passage[mine] * many + np.repeat(item, n)[mine])
+    passage, near = both // max(many, 1), both % max(many, 1)
+    w = np.where(b.codes == _GAP, 0.0, weight[np.maximum(b.codes, -1)])
+    own = np.where(b.codes >= 0, w, 0)
+    end = np.minimum(b.at + s.window, b.end[b.text])
+    run = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+    norm2, own2 = (r[end] - r[b.at] for r in (run(w * w), run(own * own)))
+    able = (s.window * own2 >= s.cosine**2 * norm2)[passage]  # the squared length in the vocabulary, were it all one word
+    least = max(int(np.ceil(s.least - 2 - 3 * (1 - s.kept) * s.least - 1e-9)), 1)
+    order = np.lexsort((place, item, of))
+    group, place = of[order] * many + item[order], place[order]
+    k = least - 1
+    quotes = np.unique(group[: len(group) - k][(group[k:] == group[: len(group) - k]) & (place[k:] - place[: len(group) - k] <= s.reach)]) if len(group) > k else group[:0]
+    return passage[able], near[able], quotes
+
+
+def folded(b: Block, passages_: np.ndarray, weight: np.ndarray, basis: np.ndarray, s: Settings) -> np.ndarray:
+    """Some passages as vectors of the latent space, over the passages' TF-IDF norms."""
+    out = np.zeros((len(passages_), basis.shape[1]), dtype=np.float32)
+    for a in range(0, len(passages_), s.block):
+        part = passages_[a : a + s.block]
+        place = b.at[part, None] + np.arange(s.window)
+        inside = place < b.end[b.text[part], None]
+        codes = b.codes[np.minimum(place, len(b.codes) - 1)]
+        w = np.where(inside, weight[np.maximum(codes, -1)], 0)
+        z = np.einsum("pw,pwr->pr", np.where(codes >= 0, w, 0).astype(np.float32), basis[np.maximum(codes, 0)], optimize=True)
+        out[a : a + s.block] = z / np.sqrt(np.maximum((w**2).sum(1), 1e-12))[:, None].astype(np.float32)
     return out
 
 
@@ -336,29 +372,45 @@ def _found(documents: DataFrame, items: DataFrame, key: str, text: str, s: Setti
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, basis, index, triples, ids, _, _ = shared.value
+        many = int(triples.items.max(initial=0)) + 1
         for b in batches:
             out = []
-            for k, codes in zip(b["_k"], b["codes"]):
-                codes = np.asarray(codes, dtype=np.int32)
-                if len(codes) < s.least * s.kept:
-                    continue
-                at, item = promising(codes, weight, triples, s)
-                if not len(at):
+            keys, texts = b["_k"].tolist(), [np.asarray(c) for c in b["codes"]]
+            for first, last in _blocks(texts, s.block_words):
+                block = Block.of(texts[first:last], s)
+                passage, item, quotes = promising(block, weight, triples, s)
+                if not len(passage):
                     continue
-                places, row = np.unique(at, return_inverse=True)
-                z = folded(codes, places, weight, basis, s)
+                used, row = np.unique(passage, return_inverse=True)
+                z = folded(block, used, weight, basis, s)
                 order = np.argsort(item, kind="stable")
                 heads = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0])
                 for x, y in zip(heads, [*heads[1:], len(order)]):
                     rows, i = row[order[x:y]], int(item[order[x]])
-                    near = places[rows[(z[rows] @ index[i]).max(1) >= s.cosine]]
-                    if len(near) and (got := check(codes, near.tolist(), i)):
-                        out.append((k, ids[i], float(got[0]), bool(got[1])))
+                    hits = used[rows[(z[rows] @ index[i]).max(1) >= s.cosine]]
+                    able = np.isin(block.text[hits] * many + i, quotes)
+                    for t in np.unique(block.text[hits[able]]):
+                        codes = block.codes[block.first[t] : block.end[t]]
+                        near = block.at[hits[block.text[hits] == t]] - block.first[t]
+                        if got := check(codes, near.tolist(), i):
+                            out.append((keys[first + t], ids[i], float(got[0]), bool(got[1])))
             yield pd.DataFrame(out, columns=[key, "item_id", "agreement", "answer_near"])
 
     return spread(encoded.select(F.col(key).alias("_k"), "codes")).mapInPandas(search, schema)
 
 
+def _blocks(texts: list[np.ndarray], words_: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many words."""
+    first, n = 0, 0
+    for d, codes in enumerate(texts):
+        n += len(codes)
+        if n >= words_:
+            yield first, d + 1
+            first, n = d + 1, 0
+    if first < len(texts):
+        yield first, len(texts)
+
+
 def _holds(codes: np.ndarray, answer: np.ndarray) -> bool:
     k = len(answer)
     return bool(k) and any(np.array_equal(codes[i : i + k], answer) for i in np.flatnonzero(codes == answer[0]))
