@@ -8,6 +8,9 @@ import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from fluxloom.errors import Coded
 
 
@@ -142,3 +145,19 @@ class SharedLogs:
 
     def detach(self, chain: str, pipeline: str) -> None:
         self.consumers.get(chain, {}).pop(pipeline, None)
+
+
+def frontier(log: DataFrame, acked: DataFrame) -> DataFrame:
+    """(chain_id, consumers, frontier, beyond): of every change log the lowest position that all its consumers have
+    acknowledged, null as long as one has acknowledged nothing or there is none, and the distinct positions beyond it,
+    which must be kept.
+
+    ``log``: chain_id, pos; ``acked``: chain_id, pipeline_id, pos.  A consumer's position only ever rises, so its greatest
+    counts.  Rows of the log without a position are none of its positions.
+    """
+    each = acked.groupBy("chain_id", "pipeline_id").agg(F.max("pos").alias("pos"))
+    low = F.when(F.count("pos") == F.count(F.lit(1)), F.min("pos"))
+    known = each.groupBy("chain_id").agg(F.count(F.lit(1)).alias("consumers"), low.alias("frontier"))
+    rows = log.where("pos is not null").distinct().join(known, "chain_id", "left")
+    beyond = F.count_if(F.col("frontier").isNull() | (F.col("pos") > F.col("frontier")))
+    return rows.groupBy("chain_id").agg(F.coalesce(F.max("consumers"), F.lit(0)).alias("consumers"), F.max("frontier").alias("frontier"), beyond.alias("beyond"))

@@ -342,5 +342,10 @@ class _SnapshotOnly:
     def __getattr__(self, name: str):
         return getattr(self._r, name)
 
+    def snapshot(self, table: str) -> DataFrame | None:
+        """The table's snapshot; an empty one where there is a log alone."""
+        found = self._r.snapshot(table)
+        return found if found is not None or (log := self._r.tail(table)) is None else log.where(F.lit(False))
+
     def tail(self, table: str) -> DataFrame | None:
         return None
