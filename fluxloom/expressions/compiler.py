@@ -84,6 +84,15 @@ def _first(*errors: Column | None) -> Column | None:
     return None if not real else real[0] if len(real) == 1 else F.coalesce(*real)
 
 
+#: Names of types, as ``type()`` gives them.
+_TYPE_NAMES = ("int", "uint", "double", "bool", "string", "bytes", "list", "map", "null_type", "timestamp", "duration")
+
+
+def _fraction(micros: Column) -> Column:
+    """Digits behind the point of a second, without closing zeros; nothing for whole seconds."""
+    return F.when(micros == 0, "").otherwise(F.concat(F.lit("."), F.rtrim(F.lpad(micros.cast("string"), 6, "0"), F.lit("0"))))
+
+
 def _strict(v: Value, what: str) -> Column | None:
     """Error of an operand that may not be null."""
     return _first(v.err, _fails(v.col.isNull(), f"no such overload: {what} of null") if v.maybe_null else None)
@@ -137,12 +146,16 @@ class _Compiler:
         if s.columns is not None:
             if n.value in s.columns.names:
                 return column_value(s.columns[n.value], F.col(f"`{n.value}`"))
+            if n.value in _TYPE_NAMES:
+                return Value("string", F.lit(n.value), lit=n.value)
             raise ExpressionError(f"undeclared reference to {n.value!r}")
         if n.value in s.rows:
             return Value("row", F.col(n.value), None, n.value not in s.present, s.rows[n.value], label=n.value)
         if n.value in s.plain:
             kind, col = s.plain[n.value]
             return Value(kind, col, None, n.value not in ("op", "src", "ts"), label=n.value)
+        if n.value in _TYPE_NAMES:
+            return Value("string", F.lit(n.value), lit=n.value)
         raise ExpressionError(f"undeclared reference to {n.value!r}")
 
     def on_field(self, n: Node) -> Value:
@@ -434,10 +447,18 @@ class _Compiler:
 
     def fn_string(self, v: Value) -> Value:
         if v.type == "timestamp":
-            return Value("string", F.date_format(v.col, "yyyy-MM-dd'T'HH:mm:ss'Z'"), _strict(v, "string"))
+            at = F.unix_micros(v.col.cast("timestamp"))
+            # the fraction only where there is one, without closing zeros
+            whole = F.date_format(F.timestamp_micros(at), "yyyy-MM-dd'T'HH:mm:ss")
+            return Value("string", F.concat(whole, _fraction(F.pmod(at, F.lit(1_000_000))), F.lit("Z")), _strict(v, "string"))
+        if v.type == "duration":  # seconds, however long
+            micros = F.unix_micros(F.timestamp_micros(F.lit(0)) + v.col)
+            size = F.abs(micros)
+            text = F.concat(F.when(micros < 0, "-").otherwise(""), F.call_function("div", size, F.lit(1_000_000)).cast("string"), _fraction(size % 1_000_000), F.lit("s"))
+            return Value("string", text, _strict(v, "string"))
         if v.type == "bytes":
             return Value("string", F.try_validate_utf8(v.col.cast("string")), _first(_strict(v, "string"), _fails(~F.is_valid_utf8(v.col.cast("string")), "invalid UTF-8")))
-        return self.convert(v, "string", "string", ("int", "uint", "double", "bool", "string", "duration"), "string")
+        return self.convert(v, "string", "string", ("int", "uint", "double", "bool", "string"), "string")
 
     def fn_bytes(self, v: Value) -> Value:
         return self.convert(v, "bytes", "bytes", ("string", "bytes"), "binary")

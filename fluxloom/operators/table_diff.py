@@ -17,12 +17,32 @@ from fluxloom.storage import materialize
 
 
 def number_text(value: Column) -> Column:
-    """Canonical text of a number however it is written; empty is null; what is no number keeps its text, marked."""
+    """Canonical text of a number however it is written, of any length; empty is null; what is no number keeps its text, marked.
+
+    Numbers a decimal(38,12) holds go that way; of others the digits themselves are brought to one form.
+    """
     trimmed = F.btrim(value.cast("string"), F.lit(" \t\r\n"))
-    number = trimmed.try_cast("decimal(38,12)")
-    canonical = F.regexp_replace(number.cast("string"), r"\.?0+$", "")
-    # a value with more digits than the type holds, or no number at all, stays as it is written
-    return F.when(trimmed == "", F.lit(None)).when(number.isNull(), F.concat(F.lit("text:"), trimmed)).otherwise(F.when(canonical == "-0", "0").when(canonical == "", "0").otherwise(canonical))
+    stripped = F.regexp_replace(trimmed.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
+    usual = F.when(stripped.isin("-0", ""), "0").otherwise(stripped)
+    return (
+        F.when(trimmed == "", F.lit(None)).when(F.rlike(trimmed, F.lit(r"^[+-]?\d{1,26}(\.\d{0,12})?$")), usual)
+        .when(F.rlike(trimmed, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,9})?$")), _digits(trimmed)).otherwise(F.concat(F.lit("text:"), trimmed))
+    )
+
+
+def _digits(number: Column) -> Column:
+    """A written number in plain notation, or, where that would be longer than 400 places, as its digits and the place of the point."""
+    part = lambda i: F.regexp_extract(number, r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$", i)
+    whole, every = part(2), F.concat(part(2), part(3))
+    core = F.ltrim(every, F.lit("0"))
+    point = F.length(whole) - (F.length(every) - F.length(core)) + F.coalesce(part(4).try_cast("int"), F.lit(0))  # 0.core times ten to this
+    core = F.rtrim(core, F.lit("0"))
+    size = F.length(core)
+    plain = F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), core)).when(point >= size, F.concat(core, F.repeat(F.lit("0"), point - size))).otherwise(
+        F.concat(F.substring(core, F.lit(1), point), F.lit("."), F.substring(core, point + 1, size))
+    )
+    text = F.when(F.abs(point) <= 400, plain).otherwise(F.concat(core, F.lit("@"), point.cast("string")))
+    return F.when(core == "", "0").otherwise(F.concat(F.when(part(1) == "-", "-").otherwise(""), text))
 
 
 def text_value(value: Column) -> Column:
@@ -31,13 +51,19 @@ def text_value(value: Column) -> Column:
 
 
 def key_number(value: Column) -> Column:
-    """A key written as text or number, as a bigint; null where it is none."""
-    number = F.btrim(value.cast("string"), F.lit(" \t\r\n")).try_cast("decimal(38,12)")
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    """A key written as text or number, as a bigint; null where it is none (see ``unkeyed``)."""
+    text = number_text(value)
+    return F.when(F.rlike(text, F.lit(r"^-?\d{1,19}$")), text.try_cast("bigint"))
+
+
+def unkeyed(df: DataFrame, key: Column) -> DataFrame:
+    """(``key_text``, ``n``): the rows that have no key and so no counterpart, by what stands in its place."""
+    return df.where(key_number(key).isNull()).groupBy(key.cast("string").alias("key_text")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def latest(df: DataFrame, key: Column, newest: Column, fields: Mapping[str, Column]) -> DataFrame:
-    """One row (``id`` and the fields) per key, the one with the greatest ``newest``; rows without a key are left out.
+    """One row (``id`` and the fields) per key, the one with the greatest ``newest``; rows without a key are left out
+    (``unkeyed`` reports them).
 
     Partially aggregated, so a key that holds most of the rows costs a task one row.  A null ``newest`` is older than any other.
     """

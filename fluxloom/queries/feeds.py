@@ -103,8 +103,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_diff.differences(*sides, list(fields))
 
 
+def p3_unkeyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of either copy whose id is no number: they have no counterpart and are reported here."""
+    sides = [table_diff.unkeyed(read(spark, sf_dir, t), F.col("id")).withColumn("source_table", F.lit(t)) for t in ("orders_source", "orders_target")]
+    return sides[0].unionByName(sides[1])
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_kept": p1_kept, "p2_found": p2_found, "p3_found": p3_found}
+    return {"p3_unkeyed": p3_unkeyed, "p1_found": p1_found, "p1_kept": p1_kept, "p2_found": p2_found, "p3_found": p3_found}
 
 
 _P1 = r"""
@@ -150,4 +156,5 @@ UNION ALL SELECT id, 'differs', 'region' FROM b WHERE sid = tid AND sr IS DISTIN
 
 
 def oracle_sql() -> dict:
-    return {"p1_found": _P1 + "k IS NOT NULL AND nth > 1", "p1_kept": _P1 + "k IS NULL OR nth = 1", "p2_found": _P2, "p3_found": _P3}
+    lost = "SELECT id::VARCHAR AS key_text, count(*) AS n, '{0}' AS source_table FROM {0} WHERE TRY_CAST(trim(id::VARCHAR) AS BIGINT) IS NULL GROUP BY 1"
+    return {"p3_unkeyed": f"{lost.format('orders_source')} UNION ALL {lost.format('orders_target')}", "p1_found": _P1 + "k IS NOT NULL AND nth > 1", "p1_kept": _P1 + "k IS NULL OR nth = 1", "p2_found": _P2, "p3_found": _P3}

@@ -101,7 +101,7 @@ def map_order_passthrough(spark, sf):
 
 
 def cel_list_macros(spark, sf):
-    docs = envelope.snapshot_of(read(spark, sf, "documents").where("tags is not null").select("doc_id", "tags"), "documents")
+    docs = envelope.snapshot_of(read(spark, sf, "documents").select("doc_id", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")), "documents")
     out = rows.map_fields(docs, {
         "n": "=size(after.tags)", "any": "=after.tags.exists(t, t.contains('e'))", "every": "=after.tags.all(t, size(t) > 3)", "one": "=after.tags.exists_one(t, t == 'beginner')",
         "long": "=size(after.tags.filter(t, size(t) > 6))", "sizes": "=size(after.tags.map(t, size(t) * 2))", "has_beginner": "='beginner' in after.tags",
@@ -182,16 +182,17 @@ def _state(df: DataFrame, seq: str) -> DataFrame:
 
 
 def nest_array(spark, sf):
+    """Every embedded order with its place in the array; parents without orders have one row."""
     t = {"customer": _state(read(spark, sf, "customer"), "c_custkey"), "orders": _state(read(spark, sf, "orders"), "o_orderkey")}
     out = nesting.nest(t, nesting.Root("customer", ("c_custkey",), (nesting.Embed("orders", {"o_custkey": "c_custkey"}, "orders"),)))
-    return out.select("c_custkey", F.size("orders").alias("n"), F.array_max(F.transform("orders", lambda o: o["o_orderkey"])).alias("last"))
+    return out.select("c_custkey", F.size("orders").alias("n"), F.posexplode_outer("orders").alias("place", "o")).select("c_custkey", "n", "place", "o.o_orderkey", "o.o_totalprice")
 
 
 def nest_two_level(spark, sf):
     t = {n: read(spark, sf, n) for n in ("region", "nation", "supplier")}
     tree = nesting.Root("region", ("r_regionkey",), (nesting.Embed("nation", {"n_regionkey": "r_regionkey"}, "geo.nations", embed=(nesting.Embed("supplier", {"s_nationkey": "n_nationkey"}, "suppliers"),)),))
     out = nesting.nest(t, tree).select("r_name", F.explode("geo.nations").alias("n"))
-    return out.select("r_name", "n.n_name", F.size("n.suppliers").alias("n_suppliers"))
+    return out.select("r_name", "n.n_name", F.size("n.suppliers").alias("n_suppliers"), F.explode_outer("n.suppliers.s_suppkey").alias("supplier"))
 
 
 def nest_object(spark, sf):
@@ -231,13 +232,14 @@ def view_latest(spark, sf):
 
 
 def push_envelope(spark, sf):
-    out = targets.push_json(_events(spark, sf, "region"))
-    return out.select(F.get_json_object("payload", "$.op").alias("op"), F.get_json_object("payload", "$.after.r_name").alias("name"), F.get_json_object("payload", "$.src").alias("src"))
+    out = targets.push_json(_events(spark, sf, "events"))
+    return out.select(F.get_json_object("payload", "$.op").alias("op"), F.get_json_object("payload", "$.after.event_id").cast("bigint").alias("event_id"), F.get_json_object("payload", "$.after.event_type").alias("kind"), F.get_json_object("payload", "$.src").alias("src"))
 
 
 def push_projection(spark, sf):
-    out = targets.push_json(_events(spark, sf, "nation"), {"name": "$n_name", "key": "=after.n_nationkey + 100"})
-    return out.select(F.get_json_object("payload", "$.name").alias("name"), F.get_json_object("payload", "$.key").cast("bigint").alias("key"))
+    docs = envelope.snapshot_of(read(spark, sf, "documents").select("doc_id", "source", "n_chars"), "documents")
+    out = targets.push_json(docs, {"site": "$source", "key": "=after.doc_id + 100", "n_chars": False})
+    return out.select(F.get_json_object("payload", "$.site").alias("site"), F.get_json_object("payload", "$.key").cast("bigint").alias("key"), F.get_json_object("payload", "$.n_chars").alias("chars"))
 
 
 def rename_tables(spark, sf):
@@ -249,15 +251,16 @@ def py_fanout(spark, sf):
     """A Python step that drops, emits and changes records."""
     code = """
 def filter(record):
-    return record["after"]["n_regionkey"] != 2
+    return record["after"]["event_type"] != "view"
 
 def process(record, ctx):
-    if record["after"]["n_nationkey"] % 2 == 0:
+    if record["after"]["user_id"] % 2 == 0:
         ctx.emit({**record, "src": "even", "op": "i"})
-    record["after"]["n_name"] = record["after"]["n_name"].lower()
-    return record if record["after"]["n_regionkey"] != 3 else None
+    record["after"]["event_type"] = record["after"]["event_type"].upper()
+    return record if record["after"]["event_type"] != "CLICK" else None
 """
-    return rows.py_step(_events(spark, sf, "nation"), code).select("op", "src", "after.n_nationkey", "after.n_name")
+    events = envelope.snapshot_of(source_tables.declared(read(spark, sf, "events").select("event_id", "user_id", "event_type")), "events")
+    return rows.py_step(events, code).select("op", "src", "after.event_id", "after.event_type")
 
 
 _DOCUMENTS = [
@@ -345,7 +348,7 @@ def oracle_sql() -> dict:
         "map_string_concat": "SELECT p_partkey, p_brand || '/' || p_type || '#' || p_size AS label FROM part",
         "map_timestamp_parts": "SELECT event_id, year(t) AS y, month(t) - 1 AS mo, day(t) AS d, dayofweek(t) AS dow, hour(t) AS h, millisecond(t) % 1000 AS ms FROM (SELECT event_id, date_trunc('milliseconds', ts) AS t FROM events)",
         "map_order_passthrough": "SELECT 'region,tag,n_nationkey,n_name' AS columns, n_regionkey AS region, true AS tag, n_nationkey, n_name FROM nation",
-        "cel_list_macros": "SELECT doc_id, len(tags) AS n, len(list_filter(tags, lambda t: contains(t, 'e'))) > 0 AS \"any\", len(list_filter(tags, lambda t: length(t) <= 3)) = 0 AS every, len(list_filter(tags, lambda t: t = 'beginner')) = 1 AS one, len(list_filter(tags, lambda t: length(t) > 6)) AS long, len(tags) AS sizes, list_contains(tags, 'beginner') AS has_beginner FROM documents WHERE tags IS NOT NULL",
+        "cel_list_macros": "SELECT doc_id, len(tags) AS n, len(list_filter(tags, lambda t: contains(t, 'e'))) > 0 AS \"any\", len(list_filter(tags, lambda t: length(t) <= 3)) = 0 AS every, len(list_filter(tags, lambda t: t = 'beginner')) = 1 AS one, len(list_filter(tags, lambda t: length(t) > 6)) AS long, len(tags) AS sizes, list_contains(tags, 'beginner') AS has_beginner FROM (SELECT doc_id, coalesce(tags, []) AS tags FROM documents)",
         "union_bag": "SELECT 'customer' AS src, c_name AS name, c_nationkey AS nation, NULL::DOUBLE AS s_acctbal FROM customer UNION ALL SELECT 'supplier', s_name, s_nationkey, s_acctbal FROM supplier",
         "fan_in_filter": "SELECT 'nation' AS src, n_name, NULL AS r_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'region', NULL, r_name FROM region",
         "fanout_exclusive": "SELECT CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'rest' END AS branch, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1",
@@ -356,14 +359,14 @@ def oracle_sql() -> dict:
         "start_from_instant": "SELECT delivery_id AS _seq, lower(trim(op)) AS op FROM change_log WHERE lower(trim(op)) <> 'r' AND delivery_id >= (SELECT min(delivery_id) FROM change_log WHERE lower(trim(op)) <> 'r' AND ts >= 1710633600000)",
         "ddl_policy_ignore": "SELECT lower(trim(op)) AS op, count(*) AS n FROM change_log WHERE lower(trim(op)) <> 'ddl' GROUP BY 1",
         "dead_letter": "SELECT event_id, 'no such field: event_id' AS error FROM events WHERE event_type = 'error'",
-        "nest_array": "SELECT c_custkey, count(o_orderkey) AS n, max(o_orderkey) AS last FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
-        "nest_two_level": "SELECT r_name, n_name, count(s_suppkey) AS n_suppliers FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2",
+        "nest_array": "SELECT c_custkey, count(o_orderkey) OVER (PARTITION BY c_custkey) AS n, CASE WHEN o_orderkey IS NOT NULL THEN row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderkey) - 1 END AS place, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON o_custkey = c_custkey",
+        "nest_two_level": "SELECT r_name, n_name, count(s_suppkey) OVER (PARTITION BY n_nationkey) AS n_suppliers, s_suppkey AS supplier FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey",
         "nest_object": "SELECT c_custkey, max(o_orderkey) AS latest_order FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1",
         "nest_array_key_dedup": "SELECT p_partkey, count(DISTINCT l_suppkey) AS n_suppliers FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1",
         "join_time_windows": "SELECT event_type, count(*) AS n, ts::DATE::VARCHAR AS day FROM events GROUP BY 1, 3",
         "view_latest": "SELECT event_type, count(*) AS users FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rk FROM events) WHERE rk = 1 AND event_type <> 'error' GROUP BY 1",
-        "push_envelope": "SELECT 'r' AS op, r_name AS name, 'region' AS src FROM region",
-        "push_projection": "SELECT n_name AS name, n_nationkey::BIGINT + 100 AS key FROM nation",
+        "push_envelope": "SELECT 'r' AS op, event_id, event_type AS kind, 'events' AS src FROM events",
+        "push_projection": "SELECT source AS site, doc_id + 100 AS key, NULL::VARCHAR AS chars FROM documents",
         "rename_tables": "SELECT * FROM (VALUES ('region', 'ods_area'), ('nation', 't_Nation_x'), ('ORDER_ITEMS', 't_OrderItems_x'), ('httpServerLog', 't_HttpServerLog_x'), ('XMLFile2', 't_XmlFile2_x')) v(source, target)",
         "pipeline_documents": "SELECT c_custkey, c_name, n_name, count(o_orderkey) AS n_orders, count(o_orderkey) FILTER (o_orderpriority = '1-URGENT') AS n_urgent FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 250000 GROUP BY 1, 2, 3",
         "stream_upsert": """WITH e AS (SELECT chain_id, lower(trim(src)) AS src, lower(trim(op)) AS op, before_row AS b, after_row AS a, delivery_id AS n FROM change_log),
@@ -371,7 +374,7 @@ def oracle_sql() -> dict:
                   UNION ALL SELECT chain_id, src, b.id, n, false, NULL FROM e WHERE op = 'u' AND b IS NOT NULL AND b.id IS DISTINCT FROM a.id),
             l AS (SELECT *, row_number() OVER (PARTITION BY chain_id, src, id ORDER BY n DESC, alive DESC) AS rk FROM s)
             SELECT chain_id, src, id, a.customer AS customer, a.region AS region FROM l WHERE rk = 1 AND alive""",
-        "py_fanout": "SELECT 'i' AS op, 'even' AS src, n_nationkey, n_name FROM nation WHERE n_regionkey <> 2 AND n_nationkey % 2 = 0 UNION ALL SELECT 'r', 'nation', n_nationkey, lower(n_name) FROM nation WHERE n_regionkey NOT IN (2, 3)",
+        "py_fanout": "SELECT 'i' AS op, 'even' AS src, event_id, event_type FROM events WHERE event_type <> 'view' AND user_id % 2 = 0 UNION ALL SELECT 'r', 'events', event_id, upper(event_type) FROM events WHERE event_type NOT IN ('view', 'click')",
     }
     for name, (aliases, sql) in _JOIN_SQL.items():
         out[name] = plain_sql(aliases, sql)

@@ -40,6 +40,8 @@ def value(events, expr, row=1):
         ("null == null", True), ("after.region.matches('^e.$')", True), ("'abc'.contains('b') && 'abc'.startsWith('a') && 'abc'.endsWith('c')", True),
         ("!(1 > 2) || 1 / 0 == 1", True), ("1 / 0 == 1 || true", True), ("false && 1 / 0 == 1", False), ("1 / 0 == 1 && false", False), ("[1, 2][1]", 2), ("{'a': 1}['a']", 1), ("op + src", "rorders"),
         ("r'a\\d'", "a\\d"), ("'\\u0041\\n'", "A\n"), ("size('😀')", 1), ("3u + 4u", 7), ("string(after.raw)", "abc"),
+        ("string(duration('90m'))", "5400s"), ("string(duration('-1500ms'))", "-1.5s"), ("string(duration('0'))", "0s"), ("string(timestamp('2021-01-01T00:00:00Z'))", "2021-01-01T00:00:00Z"),
+        ("string(timestamp('2021-01-01T00:00:00.250Z'))", "2021-01-01T00:00:00.25Z"), ("type(1) == int", True), ("type('a') == int", False), ("type(after.tags) == list", True),
     ],
 )
 def test_values(events, expr, want):

@@ -160,6 +160,21 @@ def test_differences_field_by_field(spark):
     assert {r.diff_kind for r in table_diff.differences(side(s), none, ["name", "n"]).collect()} == {"missing_in_target"}
 
 
+def test_numbers_of_any_length_are_told_apart(spark):
+    same = [["1.5", " +1.50", "15e-1", ".15E1", "0001.5000000000000000", "1500e-3"], ["0", "-0", "0.000", ".0", "0e5", "-0.0000000000000000"], ["100", "1e2", "1E+2", "100.", "0.0000000000001e15"], ["-0.001", "-1e-3", "-.001"], ["0.0000000000001", "1e-13"]]
+    apart = ["1.0000000000001", "1.0000000000002", "9" * 60, "9" * 59 + "8", "1e500", "1e-500", "1e501", "abc", "1 2", "1,5", "--1", ".", "1e"]
+    df = spark.createDataFrame([(i, x) for i, xs in enumerate(same) for x in xs] + [(100 + i, x) for i, x in enumerate(apart)] + [(-1, ""), (-1, "  "), (-1, None)], "g int, x string")
+    got = df.select("g", table_diff.number_text(F.col("x")).alias("t")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, set()).add(r.t)
+    assert by.pop(-1) == {None} and all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(by)
+    assert by[0] == {"1.5"} and by[2] == {"100"} and by[4] == {"0.0000000000001"}
+    keys = spark.createDataFrame([("7",), ("007.0",), ("7e0",), ("7.5",), ("x",), ("x",), (None,), ("9" * 30,)], "id string")
+    assert [r[0] for r in keys.select(table_diff.key_number(F.col("id"))).collect()] == [7, 7, 7, None, None, None, None, None]
+    assert rows(table_diff.unkeyed(keys, F.col("id"))) == sorted([(None, 1), ("7.5", 1), ("9" * 30, 1), ("x", 2)], key=lambda t: (t[0] is not None, str(t[0])))
+
+
 @pytest.mark.parametrize("most", [0, 100])
 def test_hot_joins_agree_whichever_way_they_go(spark, most):
     from fluxloom.operators.skew import join_hot
