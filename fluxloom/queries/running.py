@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from fluxloom import envelope
 from fluxloom.functions.messages import plain, position
-from fluxloom.operators import targets
 from fluxloom.queries.feeds import read
 from fluxloom.sources import connectors
+from fluxloom.sources.history import schema_history
 from fluxloom.sources.readers import Reader
 from fluxloom.spec import Workspace, load
 from fluxloom.storage import scratch_path
@@ -217,8 +217,14 @@ def ring_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return connectors.frontier(log, acked)
 
 
+def schema_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """The versions of every stream's schema over the change log."""
+    log = read(spark, sf, "change_log").where(plain(F.col("op")) == "ddl")
+    return schema_history(log.select("delivery_id", "chain_id", plain(F.col("src")).alias("src"), position(F.col("src_pos")).alias("pos"), F.col("row_schema").alias("schema")), ["chain_id", "src"])
+
+
 _NAMED = [
-    runtime_union_arms, runtime_two_sources, runtime_dead_letter, runtime_start_from_latest, stream_nest, nest_ignore_updates, stream_join, view_tiers, stream_late_rows, ring_frontier,
+    runtime_union_arms, runtime_two_sources, runtime_dead_letter, runtime_start_from_latest, stream_nest, nest_ignore_updates, stream_join, view_tiers, stream_late_rows, ring_frontier, schema_versions,
 ]
 
 
@@ -240,6 +246,11 @@ def oracle_sql() -> dict:
         "stream_join": "SELECT c_nationkey, count(*) AS n, max(o_orderkey) AS newest FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1",
         "view_tiers": f"SELECT event_type, count(*) AS users, min(event_id) AS oldest, tier FROM {_LAST}, (VALUES ('warm'), ('cold')) v(tier) GROUP BY 1, 4",
         "stream_late_rows": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "schema_versions": r"""WITH d AS (SELECT chain_id, lower(trim(src)) AS src, TRY_CAST(regexp_extract(lower(trim(src_pos)), '^w(\d+)$', 1) AS BIGINT) AS pos, delivery_id,
+              array_to_string(list_transform(list_sort(map_keys(row_schema)), lambda k: k || ' ' || coalesce(row_schema[k], 'null')), ', ') AS fields FROM change_log WHERE lower(trim(op)) = 'ddl' AND row_schema IS NOT NULL),
+            o AS (SELECT chain_id, src, pos, arg_min(fields, delivery_id) AS fields FROM d WHERE pos IS NOT NULL GROUP BY 1, 2, 3),
+            n AS (SELECT *, lag(fields) OVER (PARTITION BY chain_id, src ORDER BY pos) AS before FROM o)
+            SELECT chain_id, src, row_number() OVER (PARTITION BY chain_id, src ORDER BY pos) AS version, pos AS since, fields FROM n WHERE before IS DISTINCT FROM fields""",
         "ring_frontier": r"""WITH c AS (SELECT chain_id, pipeline_id, max(TRY_CAST(regexp_extract(lower(trim(sink_acked_srcpos)), '^w(\d+)$', 1) AS BIGINT)) AS p FROM consumer_offset GROUP BY 1, 2),
             f AS (SELECT chain_id, count(*) AS consumers, CASE WHEN count(p) = count(*) THEN min(p) END AS frontier FROM c GROUP BY 1),
             l AS (SELECT DISTINCT chain_id, TRY_CAST(regexp_extract(lower(trim(src_pos)), '^w(\d+)$', 1) AS BIGINT) AS p FROM change_log WHERE regexp_matches(lower(trim(src_pos)), '^w(\d+)$'))

@@ -153,6 +153,52 @@ def test_two_arms_of_a_fan_out_end_in_one_target(spark, land, tmp_path, follow):
         p.stop()
 
 
+def test_convergence_to_what_is_asked_for(spark, land, tmp_path):
+    from fluxloom.streaming.control import Control, converge
+
+    reader, more = land
+    p = Pipeline(spark, docs(KEEP), "p", {"src": reader}, f"{tmp_path}/out")
+    c, other = Control(spark, f"{tmp_path}/control"), Control(spark, f"{tmp_path}/control")
+    assert c.read() == ("STOPPED", 0) and converge(p, c) == "NEW"
+    assert c.ask("RUNNING") == 1 and converge(p, c) == "RUNNING" == converge(p, c)
+    with pytest.raises(Coded):
+        other.ask("PAUSED", epoch=0)  # it has changed since
+    assert other.ask("PAUSED", epoch=1) == 2 and converge(p, c) == "PAUSED"
+    more(("i", 3, None, (4, "us", 9), "w3", 3))  # captured while it pauses
+    c.ask("RUNNING")
+    assert converge(p, c) == "RUNNING" and p.process_available().error_count == 0
+    assert rows(p.table("tgt", "ods_orders", ("id",))) == [(1, "eu", 50), (3, "eu", 7), (4, "us", 9)]
+    c.ask("STOPPED")
+    assert converge(p, c) == "STOPPED"
+    failing = Pipeline(spark, docs("{ id: s_out, from: orders, type: filter, expr: 'after.qty / (after.qty - 5) > 0' }"), "p", {"src": reader}, f"{tmp_path}/out2")
+    c.ask("RUNNING")
+    assert converge(failing, c) == "FAILED" == converge(failing, c)
+
+
+def test_append_takes_one_table_and_types_are_checked_at_start(spark, land, tmp_path):
+    reader, _ = land
+    spark.createDataFrame([(1, "x")], "id long, name string").write.parquet(f"{tmp_path}/people.parquet")
+    two = docs("{ id: s_out, from: src, type: union }", src="tables: [ orders, people ]\n", serve="sync: [ { id: out, source: tgt, write_mode: append } ]")
+    seen = Pipeline(spark, two, "p", {"src": reader}, f"{tmp_path}/out").start()
+    assert (seen.state, seen.error_code, seen.record_count) == ("FAILED", "connector.write-failed", 0)
+    wrong = docs("{ id: s_out, from: orders, type: filter, expr: \"after.region > 5\" }")
+    assert Pipeline(spark, wrong, "p", {"src": reader}, f"{tmp_path}/out3").start().state == "FAILED"
+
+
+def test_counts_are_taken_once(spark, land, tmp_path):
+    p = Pipeline(spark, docs("{ id: s_out, from: orders, type: map, fields: { region: false } }"), "p", {"src": land[0]}, f"{tmp_path}/out")
+    assert p.start().record_count == 5 and p.start().record_count == 0  # three rows, two changes; nothing new
+
+
+def test_children_as_first_set_start_again_after_they_ended(spark):
+    from fluxloom.operators.targets import first_images
+
+    row = "struct<id:bigint,v:string>"
+    log = [("i", None, (1, "a"), 1), ("u", (1, "a"), (1, "b"), 2), ("i", None, (2, "c"), 3), ("d", (2, "c"), None, 4), ("i", None, (2, "d"), 5), ("u", (2, "d"), (2, "e"), 6), ("i", None, (3, "f"), 7), ("d", (3, "f"), None, 8)]
+    df = spark.createDataFrame(log, f"op string, before {row}, after {row}, _seq bigint")
+    assert rows(first_images(df, ["id"])) == [(1, "a"), (2, "d")]
+
+
 def test_table_filter_and_missing_pipeline(land):
     reader, _ = land
     ws = docs("{ id: s_out, from: src, type: union }", src="tables: [ { name: orders, filter: \"region == 'eu'\", pk: [id] } ]\n", settings="settings: { read_mode: snapshot_only }\n")
