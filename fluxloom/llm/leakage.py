@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -88,7 +89,7 @@ def encode(documents: DataFrame, key: str, text: str, vocabulary: dict[str, int]
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = shared.value.get
         for b in batches:
-            yield pd.DataFrame({key: b["_k"], "codes": [np.array([at(w, -1) for w in words(t)], dtype=np.int32) for t in b["_t"]]})
+            yield pd.DataFrame({key: b["_k"], "codes": [np.array(list(map(at, words(t), repeat(-1))), dtype=np.int32) for t in b["_t"]]})
 
     rows = spread(documents.where(F.col(text).isNotNull()).select(F.col(key).alias("_k"), F.col(text).alias("_t")))
     return rows.mapInPandas(code, f"`{key}` {documents.schema[key].dataType.simpleString()}, codes array<int>")
@@ -110,9 +111,11 @@ def passages(codes: np.ndarray, weight: np.ndarray, basis: np.ndarray, window: i
     """Starts, TF-IDF norms and folded vectors (before norming) of the passages of one text."""
     at = starts(len(codes), window, stride)
     inside = codes >= 0
-    w = np.where(inside, weight[codes], weight[-1]).astype(np.float64)  # the last weight is the stranger's
+    w = np.where(inside, weight[codes], weight[-1])  # the last weight is the stranger's
     norm = np.sqrt(_sums(w * w, at, window))
-    rows = np.where(inside[:, None], basis[codes], 0).astype(np.float64) * w[:, None]
+    # differences of a running sum: in short floats only while it stays short
+    kind = np.float32 if len(codes) <= 4096 else np.float64
+    rows = basis[codes].astype(kind, copy=False) * np.where(inside, w, 0).astype(kind)[:, None]
     return at, np.maximum(norm, 1e-9), _sums(rows, at, window)
 
 
