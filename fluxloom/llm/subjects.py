@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -84,8 +85,8 @@ def segments(documents: DataFrame, key: str, text: str, s: Settings) -> DataFram
 def transactions(lines: list[str], codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """(line, code) of the known words of each line, each once, in order of line and code."""
     sizes = [x.count(" ") + 1 for x in lines]
-    get = codes.get
-    code = np.fromiter((get(w, -1) for x in lines for w in x.split(" ")), dtype=np.int64, count=sum(sizes))
+    words = " ".join(lines).split(" ") if lines else []
+    code = np.array(list(map(codes.get, words, repeat(-1))), dtype=np.int64)
     line = np.repeat(np.arange(len(lines)), sizes)
     n = max(len(codes), 1)
     both = np.unique(line[code >= 0] * n + code[code >= 0])
