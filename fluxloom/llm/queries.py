@@ -1,4 +1,4 @@
-"""Queries over the text corpus (problems 6 to 8).  None of them can be said in SQL on whole tables."""
+"""Queries over the text corpus (problems 6 to 8).  SQL cannot say their results; of the packing it can say what must hold."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.llm import leakage, packing, subjects
+from fluxloom.storage import materialize
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +29,24 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing of each target: every text is there once and whole, none is split that fits, no container
+    is over its capacity or has a gap in its places, and there are not many more containers than the tokens alone would need."""
+    targets = read(spark, sf_dir, "pack_target")
+    rows = materialize(p6_packed(spark, sf_dir), "packed")
+    texts = rows.groupBy("target_name", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.col("token_to") - F.col("token_from")).alias("sum"), F.max("token_to").alias("size"), F.min("token_from").alias("from"))
+    each = texts.join(targets, "target_name").groupBy("target_name").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if((F.col("sum") != F.col("size")) | (F.col("from") != 0)).alias("torn"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= F.col("capacity_tokens"))).alias("split_needlessly")
+    )
+    bins = rows.groupBy("target_name", "container").agg(F.sum(F.col("token_to") - F.col("token_from")).alias("used"), F.count(F.lit(1)).alias("n"), F.max("place").alias("last"), F.count_distinct("place").alias("places"))
+    taken = F.col("used") + (F.col("n") - 1) * F.col("separator_tokens")
+    full = bins.join(targets, "target_name").groupBy("target_name").agg(
+        F.count_if(taken > F.col("capacity_tokens")).alias("overfull"), F.count_if((F.col("last") != F.col("n") - 1) | (F.col("places") != F.col("n"))).alias("misplaced"),
+        (F.count(F.lit(1)) <= F.ceil(1.02 * F.sum(taken) / F.max("capacity_tokens")) + 1).alias("near_bound"),
+    )
+    return each.join(full, "target_name")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.found(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "eval_item").select("item_id", "text", "answer"))
 
@@ -59,8 +78,9 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_mix": p8_mix}
+    return {"p6_packed": p6_packed, "p6_fill": p6_fill, "p6_whole": p6_whole, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_mix": p8_mix}
 
 
 def oracle_sql() -> dict:
-    return {}
+    whole = "SELECT target_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS texts, 0 AS torn, 0 AS split_needlessly, 0 AS overfull, 0 AS misplaced, true AS near_bound FROM pack_target"
+    return {"p6_whole": whole}
