@@ -38,7 +38,8 @@ def test_query(spark, con, name):
     cols = sorted(df.columns)
     got = Counter(tuple(map(plain, r)) for r in df.select(*cols).collect())
     sql = entry.oracle_sql().get(name)
-    if sql is None:
+    if sql is None:  # only queries over texts have none; their own tests compare them
+        assert name[:2] in ("p6", "p7", "p8") and (got or name == "p8_found")
         return
     want = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({sql})").fetchall()
     assert got == Counter(tuple(map(plain, r)) for r in want)
