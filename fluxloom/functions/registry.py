@@ -18,12 +18,10 @@ def register_aggregate(spark: SparkSession, name: str, function: Callable[..., o
     """
     ship(spark)
 
-    def whole(*columns):
+    def whole(*columns: pd.Series) -> object:  # series in, one value out: an aggregate
         return function(*columns)
 
-    # the series in, one value out: that is what makes it an aggregate
-    whole.__annotations__ = {"columns": pd.Series, "return": object}
-    spark.udf.register(name, pandas_udf(whole, returnType=returns, functionType=202))  # grouped aggregate
+    spark.udf.register(name, pandas_udf(whole, returnType=returns))
 
 
 def register_table_function(spark: SparkSession, name: str, function: Callable[..., object], returns: str) -> None:

@@ -53,7 +53,8 @@ class Manifest:
         out = fs.create(tmp)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if not fs.rename(tmp, jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{mine}.json")):
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{mine}.json")
+        if fs.exists(at) or not fs.rename(tmp, at):  # a local file system would rename over what is there
             fs.delete(tmp, False)
             raise RuntimeError(f"{self.path}: somebody else committed version {mine}")
         for p in [*gone, f"manifest-{mine - GRACE}.json"]:

@@ -97,12 +97,10 @@ def _scan(ws: Workspace, p: Resource, readers: Mapping[str, Reader], settings: d
                 continue
             if tail is not None and (first := starts.get(f"{s.id}.{spec.name}")) is not None:
                 tail = tail.where(F.col("_seq") >= first)
-            elif tail is not None and not stream:
-                tail = sel.start_from(tail, settings.get("start_from") or "earliest")
-            parts = [x for x in (snap, tail) if x is not None]
-            if not parts:
+            if snap is None and tail is None:
                 raise Coded("actuation.source-table-not-discovered", table=spec.name)
-            events = rows.union_rows(*parts)
+            start = "earliest" if stream or f"{s.id}.{spec.name}" in starts else settings.get("start_from") or "earliest"
+            events = sel.read_source(snap, tail, start)
             if spec.filter:
                 events = _raw_filter(events, spec.filter)
             out[s.id, spec.name] = Branch(s.id, spec.name, events, tuple(key), frozenset({"after"}) if tail is None else frozenset())

@@ -120,7 +120,7 @@ WITH RECURSIVE first AS (
 ), rec AS (
   SELECT file_id, line_no, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM landed_row
 ), cell AS (
-  SELECT file_id, line_no, e.key AS name, e.value->>'$' AS value FROM rec, json_each(rec.p) e WHERE json_type(rec.p) = 'OBJECT'
+  SELECT file_id, line_no, e.key AS name, CASE WHEN json_type(e.value) = 'DOUBLE' AND NOT contains(lower(e.value::VARCHAR), 'e') THEN regexp_replace(e.value::VARCHAR, '\.?0+$', '') ELSE e.value->>'$' END AS value FROM rec, json_each(rec.p) e WHERE json_type(rec.p) = 'OBJECT'
 ), col AS (
   SELECT file_id, name, min(type) AS type FROM (
     SELECT file_id, f.name AS name, nullif(regexp_replace(lower(f.data_type), '\s+', '', 'g'), '') AS type FROM (SELECT file_id, unnest(field_list) AS f FROM first)

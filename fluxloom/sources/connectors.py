@@ -112,7 +112,8 @@ def chain_id(source: dict) -> str:
 
 
 class SharedLogs:
-    """Which pipelines read which change log, and what each has acknowledged."""
+    """Which pipelines read which change log, and what each has acknowledged: a pipeline that is given it attaches when it
+    runs, acknowledges every micro-batch its targets hold, and detaches when it is stopped."""
 
     def __init__(self):
         self.tables: dict[str, set[str]] = {}
@@ -135,10 +136,6 @@ class SharedLogs:
         held = list(self.consumers.get(chain, {}).values())
         return None if not held or None in held else min(held)
 
-    def has_room(self, tail: int, slowest: int, capacity: int = 1024) -> bool:
-        """Whether a bounded log may take one more event without running over its slowest reader."""
-        return tail + 1 - slowest <= capacity
-
     def affected(self, chain: str) -> list[str]:
         """Pipelines a teardown would stop."""
         return sorted(self.consumers.get(chain, {}))

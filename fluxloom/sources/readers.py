@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from fluxloom import envelope
 from fluxloom.errors import Coded
+from fluxloom.sources.tables import only_selected
 from fluxloom.storage import file_system
 
 
@@ -67,8 +68,11 @@ class Reader:
         return self.spark.read.parquet(f"{self.root}/{table}.log")
 
     def _as_events(self, log: DataFrame, table: str) -> DataFrame:
+        """Changes of a table; a log that says of its own what table a change is of may hold no other's."""
         schema = "schema" if "schema" in log.columns else None
-        return envelope.changes_of(log.withColumn("src", F.lit(table)), F.col("seq"), schema=schema, src_pos="src_pos" if "src_pos" in log.columns else None)
+        named = "src" in log.columns
+        events = envelope.changes_of(log if named else log.withColumn("src", F.lit(table)), F.col("seq"), schema=schema, src_pos="src_pos" if "src_pos" in log.columns else None)
+        return only_selected(events, [table]) if named else events
 
     def tail(self, table: str) -> DataFrame | None:
         return self._as_events(self.log(table), table) if self._has(table, "log") else None
@@ -86,7 +90,7 @@ class Reader:
 def reader_for(spark: SparkSession, source: dict) -> Reader:
     """A reader for a file source by its document; other connectors need their own driver on the cluster."""
     config = source.get("config") or {}
-    if source.get("connector") not in ("parquet", "csv", "json", "orc") or "path" not in config:
+    if source.get("connector") not in ("parquet", "csv", "json", "orc", "text", "xml") or "path" not in config:
         raise Coded("connector.not-registered", connector=source.get("connector"))
     options = {k: str(v).lower() if isinstance(v, bool) else str(v) for k, v in config.items() if k not in ("path", "keys")}
     return Reader(spark, config["path"], source["connector"], {t: tuple(k) if isinstance(k, list) else (k,) for t, k in (config.get("keys") or {}).items()}, options)

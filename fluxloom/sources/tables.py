@@ -111,18 +111,11 @@ def consumption(read_mode: str = "snapshot_and_cdc", srs_enabled: bool = True) -
     return Consumption(read_mode != "cdc_only", tail, tail and srs_enabled)
 
 
-def read_source(snapshot: DataFrame | None, tail: DataFrame | None, plan: Consumption, start: str = "earliest") -> DataFrame:
-    """Events of one table under a plan; the snapshot precedes every change of the tail."""
+def read_source(snapshot: DataFrame | None, tail: DataFrame | None, start: str = "earliest") -> DataFrame:
+    """Events of one table: the snapshot, which precedes every change, and the tail from its start position on."""
     from fluxloom.operators.rows import union_rows
 
-    parts = []
-    if plan.snapshot and snapshot is not None:
-        parts.append(snapshot)
-    if plan.tail and tail is not None:
-        parts.append(start_from(tail, start))
-    if not parts:
-        raise Coded("actuation.source-table-selection-empty")
-    return union_rows(*parts)
+    return union_rows(*[x for x in (snapshot, None if tail is None else start_from(tail, start)) if x is not None])
 
 
 def only_selected(events: DataFrame, tables: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from fluxloom.manifest import Manifest
 from fluxloom.operators import targets
 from fluxloom.plans import views
 from fluxloom.plans.pipeline import Branch, Output, Plan, build
+from fluxloom.sources import connectors
 from fluxloom.sources import tables as sel
 from fluxloom.sources.readers import Reader
 from fluxloom.spec import Workspace, content_hash
@@ -107,7 +108,8 @@ class Pipeline:
     restart goes on where it stopped; the snapshot is taken once.  A failure is sticky until ``stop``.
     """
 
-    def __init__(self, spark: SparkSession, ws: Workspace, pipeline: str, readers: Mapping[str, Reader], target: str):
+    def __init__(self, spark: SparkSession, ws: Workspace, pipeline: str, readers: Mapping[str, Reader], target: str, logs: connectors.SharedLogs | None = None):
+        self.logs = logs
         self.spark, self.ws, self.id, self.readers, self.target = spark, ws, pipeline, readers, target.rstrip("/")
         self.seen = Status()
         self.queries: list[StreamingQuery] = []
@@ -143,6 +145,8 @@ class Pipeline:
     def stop(self) -> Status:
         self.seen.state = self._go("stop")
         self._halt()
+        for s in self.ws.sources(self.ws.by_id[self.id]) if self.logs else ():
+            self.logs.detach(connectors.chain_id(s.body), self.id)
         return self.seen
 
     def _halt(self) -> None:
@@ -161,6 +165,9 @@ class Pipeline:
             p = self.ws.by_id[self.id]
             settings = p.body.get("settings") or {}
             self.ws.check_types(p, {s.id: {t: m.row for t, m in self.readers[s.id].discover().items()} for s in self.ws.sources(p)})
+            for s in self.ws.sources(p) if self.logs else ():
+                if sel.consumption(settings.get("read_mode") or "snapshot_and_cdc", (s.body.get("srs") or {}).get("enabled") is not False).shared:
+                    self.logs.attach(connectors.chain_id(s.body), self.id, self.readers[s.id].tables())
             self._starts()
             if self._stateful():
                 self._recompute()
@@ -247,6 +254,7 @@ class Pipeline:
                     with self._writing:  # branches may end in one table
                         one = Output(out.kind, out.id, out.spec, [replace(b, events=self._started(b, df, starts))], out.error_policy)
                         self.seen.record_count += write_output(self.spark, one, self._folder(out), batch, f"{self.id}/tail")
+                        self._acknowledge(b, df)
 
                 self._run_stream(b.events, each, f"{out.id}-{b.id}", follow)
         for b, dead in zip(plan.dead_of, plan.dead) if plan else ():
@@ -259,6 +267,12 @@ class Pipeline:
 
             self._run_stream(dead, bury, f"dead-{b.id}", follow)
 
+    def _acknowledge(self, b: Branch, df: DataFrame) -> None:
+        """Tell a shared log how far the targets hold it."""
+        chain = connectors.chain_id(self.ws.by_id[b.source].body) if self.logs and b.source else None
+        if chain and self.id in self.logs.consumers.get(chain, {}) and (last := df.agg(F.max("_seq")).first()[0]) is not None:
+            self.logs.acknowledge(chain, self.id, str(last))
+
     def _run_stream(self, events: DataFrame, each: Callable[[DataFrame, int], None], name: str, follow: bool) -> None:
         writer = events.writeStream.foreachBatch(each).option("checkpointLocation", f"{self.target}/_checkpoints/{self.id}/{name}")
         q = (writer if follow else writer.trigger(availableNow=True)).start()

@@ -64,6 +64,21 @@ def test_a_batch_is_committed_with_its_winners_and_done_once(spark, monkeypatch)
     assert sorted(r.arrival for r in again.collect()) == [4, 5] and seen.version() == 2
 
 
+def test_of_two_writers_one_fails_and_old_parts_go(spark):
+    path = scratch_path(spark, "manifest-test")
+    a, b = Manifest(spark, path), Manifest(spark, path)
+    held, state = a.load()
+    a.commit(held, {**state, "who": "a"})
+    with pytest.raises(RuntimeError):
+        b.commit(held, {**state, "who": "b"})
+    spark.range(1).write.parquet(f"{path}/old")
+    fs, at = file_system(spark, f"{path}/old")
+    for n in range(1, 12):
+        held, state = a.load()
+        assert (held, state["who"], fs.exists(at)) == (n, "a", n < 11)
+        a.commit(held, state, ["old"] if n == 2 else [])
+
+
 def test_only_touched_shards_are_written_and_sparse_identifiers_stay_small(spark):
     seen = exactly_once.SeenBits(spark, scratch_path(spark, "seen-test"), 4)
     exactly_once.take_unseen(encoded(spark, [("a", i * 10**6, i, "", 0) for i in range(2000)]), seen)

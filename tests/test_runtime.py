@@ -185,6 +185,28 @@ def test_append_takes_one_table_and_types_are_checked_at_start(spark, land, tmp_
     assert Pipeline(spark, wrong, "p", {"src": reader}, f"{tmp_path}/out3").start().state == "FAILED"
 
 
+def test_shared_logs_hear_of_every_batch(spark, land, tmp_path):
+    from fluxloom.sources.connectors import SharedLogs, chain_id
+
+    reader, more = land
+    ws, logs = docs("{ id: s_out, from: orders, type: map, fields: { region: false } }"), SharedLogs()
+    chain = chain_id(ws.by_id["src"].body)
+    logs.attach(chain, "other", ["orders"])
+    p = Pipeline(spark, ws, "p", {"src": reader}, f"{tmp_path}/out", logs)
+    assert p.start().state == "COMPLETED" and logs.consumers[chain] == {"other": None, "p": 2} and logs.durable_frontier(chain) is None
+    logs.acknowledge(chain, "other", "w1")
+    more(("i", 3, None, (4, "us", 9), "w3", 3))
+    p.start()
+    assert logs.durable_frontier(chain) == 1 and logs.consumers[chain]["p"] == 3
+
+
+def test_a_log_with_a_change_of_another_table_fails_the_run(spark, tmp_path):
+    spark.createDataFrame([("i", 1, None, (1, "eu", 5), "w1", 1, "orders"), ("i", 2, None, (2, "eu", 5), "w2", 2, "others")], LOG + ", src string").write.parquet(f"{tmp_path}/orders.log")
+    p = Pipeline(spark, docs("{ id: s_out, from: orders, type: map, fields: { region: false } }"), "p", {"src": Reader(spark, str(tmp_path), keys={"orders": ("id",)})}, f"{tmp_path}/out")
+    seen = p.start()
+    assert (seen.state, seen.error_code) == ("FAILED", "capture.event-table-not-selected")
+
+
 def test_counts_are_taken_once(spark, land, tmp_path):
     p = Pipeline(spark, docs("{ id: s_out, from: orders, type: map, fields: { region: false } }"), "p", {"src": land[0]}, f"{tmp_path}/out")
     assert p.start().record_count == 5 and p.start().record_count == 0  # three rows, two changes; nothing new
