@@ -22,10 +22,12 @@ def number_text(value: Column) -> Column:
     Numbers a decimal(38,12) holds go that way; of others the digits themselves are brought to one form.
     """
     trimmed = F.btrim(value.cast("string"), F.lit(" \t\r\n"))
-    stripped = F.regexp_replace(trimmed.try_cast("decimal(38,12)").cast("string"), r"\.?0+$", "")
-    usual = F.when(stripped.isin("-0", ""), "0").otherwise(stripped)
+    number, point = trimmed.try_cast("decimal(38,12)"), F.instr(trimmed, ".")
+    # without an exponent and with at most twelve digits behind the point nothing was rounded
+    exact = number.isNotNull() & ((point == 0) | (F.length(trimmed) - point <= 12)) & ~trimmed.contains("e") & ~trimmed.contains("E")
+    usual = F.when(number == 0, "0").otherwise(F.rtrim(F.rtrim(number.cast("string"), F.lit("0")), F.lit(".")))
     return (
-        F.when(trimmed == "", F.lit(None)).when(F.rlike(trimmed, F.lit(r"^[+-]?\d{1,26}(\.\d{0,12})?$")), usual)
+        F.when(trimmed == "", F.lit(None)).when(exact, usual)
         .when(F.rlike(trimmed, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,9})?$")), _digits(trimmed)).otherwise(F.concat(F.lit("text:"), trimmed))
     )
 
@@ -52,8 +54,9 @@ def text_value(value: Column) -> Column:
 
 def key_number(value: Column) -> Column:
     """A key written as text or number, as a bigint; null where it is none (see ``unkeyed``)."""
-    text = number_text(value)
-    return F.when(F.rlike(text, F.lit(r"^-?\d{1,19}$")), text.try_cast("bigint"))
+    text = F.btrim(value.cast("string"), F.lit(" \t\r\n"))
+    written = number_text(value)
+    return F.coalesce(text.try_cast("bigint"), F.when(F.rlike(written, F.lit(r"^-?\d{1,19}$")), written.try_cast("bigint")))
 
 
 def unkeyed(df: DataFrame, key: Column) -> DataFrame:
