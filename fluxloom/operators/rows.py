@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from fluxloom import envelope
 from fluxloom.errors import Coded
 from fluxloom.expressions import ExpressionError, Scope, compile_column, compile_predicate
-from fluxloom.expressions.compiler import failing
+from fluxloom.expressions.compiler import compile_value, failing
 from fluxloom.storage import ship
 
 
@@ -62,8 +62,9 @@ def literal(value: object) -> Column:
     return F.lit(value).cast("bigint") if isinstance(value, int) and not isinstance(value, bool) else F.lit(value)
 
 
-def map_columns(fields: dict[str, object], row: T.StructType, at: str, scope: Scope) -> list[Column]:
-    """The columns of a mapped row: declared rules first, in order, then what no rule takes or drops.
+def map_columns(fields: dict[str, object], row: T.StructType, at: str, scope: Scope, strict: bool = True) -> list[Column]:
+    """The columns of a mapped row: declared rules first, in order, then what no rule takes or drops.  Not ``strict``, a
+    computed field that fails is not raised; see ``map_error``.
 
     ``$name`` renames (without the source: no column, and a field of the output's name passes), ``false`` drops,
     ``=expr`` computes on the original event, anything else is a constant.
@@ -81,7 +82,7 @@ def map_columns(fields: dict[str, object], row: T.StructType, at: str, scope: Sc
                 made.add(name)
         elif isinstance(rule, str) and rule.startswith("="):
             try:
-                out.append(compile_column(rule[1:], scope).alias(name))
+                out.append((compile_column(rule[1:], scope) if strict else compile_value(rule[1:], scope).col).alias(name))
             except ExpressionError as e:
                 raise coded(rule[1:], e, path=f"fields.{name}") from e
             made.add(name)
@@ -91,14 +92,39 @@ def map_columns(fields: dict[str, object], row: T.StructType, at: str, scope: Sc
     return out + [F.col(f"{at}.`{c}`").alias(c) for c in row.names if c not in taken and c not in made]
 
 
-def map_fields(events: DataFrame, fields: dict[str, object], present: Iterable[str] = (), key: Iterable[str] = ()) -> DataFrame:
-    """Project ``after`` by ``fields``; events without it pass untouched.
+def map_error(events: DataFrame, fields: dict[str, object], present: Iterable[str] = ()) -> Column | None:
+    """Why the first of the computed fields that fails does, null where none does; None if none can."""
+    scope = Scope.envelope(events.schema, frozenset(present))
+    errs = [e for rule in fields.values() if isinstance(rule, str) and rule.startswith("=") and (e := compile_value(rule[1:], scope).err) is not None]
+    return F.when(F.col("after").isNotNull(), F.coalesce(*errs)) if errs else None
+
+
+def _dead(events: DataFrame) -> DataFrame:
+    """Events with ``_error`` as a dead-letter table takes them: rows of any table, as text."""
+    return events.select("op", "ts", "src", F.to_json("before").alias("before"), F.to_json("after").alias("after"), "src_pos", "_seq", "_error")
+
+
+def dead_letters(events: DataFrame, kind: str, body: dict) -> DataFrame:
+    """The events on which a step (filter, map or py) fails, with ``_error``."""
+    if kind == "py":
+        return _py_failed(events, body["script"])
+    if kind == "filter":
+        return _dead(failed_rows(events, body["expr"]))
+    err = map_error(events, body["fields"])
+    bad = events.where(F.lit(False)).withColumn("_error", F.lit(None).cast("string")) if err is None else events.withColumn("_error", err).where(F.col("_error").isNotNull())
+    return _dead(bad)
+
+
+def map_fields(events: DataFrame, fields: dict[str, object], present: Iterable[str] = (), key: Iterable[str] = (), policy: str = "fail") -> DataFrame:
+    """Project ``after`` by ``fields``; events without it pass untouched.  ``policy`` is that of ``filter_rows``, for computed fields.
 
     ``before`` keeps its columns, but a renamed key column is renamed there too, so deletes still find their row.
     """
     scope = Scope.envelope(events.schema, frozenset(present))
     row = events.schema["after"].dataType
-    mapped = F.struct(*map_columns(fields, row, "after", scope)) if row.names else F.col("after")
+    if policy != "fail" and (err := map_error(events, fields, present)) is not None:
+        events = events.where(err.isNull())
+    mapped = F.struct(*map_columns(fields, row, "after", scope, policy == "fail")) if row.names else F.col("after")
     if "after" not in present:
         mapped = F.when(F.col("after").isNotNull(), mapped)
     renamed = {str(rule)[1:]: name for name, rule in fields.items() if isinstance(rule, str) and rule.startswith("$") and rule[1:] in set(key)}
@@ -202,10 +228,10 @@ def _cell(value: Any, kind: T.DataType) -> Any:
     return value
 
 
-def py_step(events: DataFrame, code: str | tuple[Callable, Callable | None], after: T.StructType | None = None) -> DataFrame:
+def py_step(events: DataFrame, code: str | tuple[Callable, Callable | None], after: T.StructType | None = None, policy: str = "fail") -> DataFrame:
     """Events through a Python step, in Arrow batches; it sees every event, ddl and deletes too.
 
-    ``after`` declares the row type the step writes (default: that of its input).
+    ``after`` declares the row type the step writes (default: that of its input); ``policy`` is that of ``filter_rows``.
     """
     rows = after or events.schema["after"].dataType
     steps = script(code) if isinstance(code, str) else code
@@ -220,7 +246,13 @@ def py_step(events: DataFrame, code: str | tuple[Callable, Callable | None], aft
             for r in b.to_dict("records"):
                 seq = r.pop("_seq")
                 r["schema"] = dict(r["schema"]) if r["schema"] is not None else None
-                for made in run_record({k: _plain(v) for k, v in r.items()}, process, keep):
+                try:
+                    made_of = run_record({k: _plain(v) for k, v in r.items()}, process, keep)
+                except Coded:
+                    if policy == "fail":
+                        raise
+                    continue
+                for made in made_of:
                     out.append((made["op"], made["ts"], made["src"], _cell(made["before"], rows), _cell(made["after"], rows), made["schema"], made["src_pos"], seq))
             yield pd.DataFrame(out, columns=names)
 
@@ -228,6 +260,28 @@ def py_step(events: DataFrame, code: str | tuple[Callable, Callable | None], aft
     return events.select(*names).mapInPandas(run, schema)
 
 
+def _py_failed(events: DataFrame, code: str) -> DataFrame:
+    """The events on which a Python step fails, as a dead-letter table takes them."""
+    names = ["op", "ts", "src", "before", "after", "schema", "src_pos", "_seq"]
+    text = events.withColumns({"_b": F.to_json("before"), "_a": F.to_json("after")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        process, keep = script(code)
+        for b in batches:
+            out = []
+            for r in b.to_dict("records"):
+                seq, before, after = r.pop("_seq"), r.pop("_b"), r.pop("_a")
+                r["schema"] = dict(r["schema"]) if r["schema"] is not None else None
+                try:
+                    run_record({k: _plain(v) for k, v in r.items()}, process, keep)
+                except Coded as e:
+                    out.append((r["op"], r["ts"], r["src"], before, after, r["src_pos"], seq, str(e)))
+            yield pd.DataFrame(out, columns=["op", "ts", "src", "before", "after", "src_pos", "_seq", "_error"])
+
+    ship(events.sparkSession)
+    return text.select(*names, "_b", "_a").mapInPandas(run, "op string, ts bigint, src string, before string, after string, src_pos string, _seq bigint, _error string")
+
+
 def _plain(v: Any) -> Any:
     """Pandas cells as plain Python values."""
     if v is None or v is pd.NaT:

@@ -165,24 +165,28 @@ def _embeds(items: list[dict] | None) -> tuple[nesting.Embed, ...]:
     )
 
 
+#: Steps that may fail on an event and follow the error policy.
+_JUDGED = ("filter", "map", "py")
+
+
 def _step(body: dict, inputs: dict[str, list[Branch]], policy: str, dead: list[DataFrame], name: str) -> list[Branch]:
     kind = body["type"]
     flow = [b for bs in inputs.values() for b in bs]
     each: Callable[[Branch], Branch]
     if kind == "union":
         return flow
+    if policy == "dead_letter" and kind in _JUDGED:
+        dead += [rows.dead_letters(b.events, kind, body) for b in flow]
     if kind == "filter":
-        if policy == "dead_letter":
-            dead += [rows.failed_rows(b.events, body["expr"]).select("op", "ts", "src", F.to_json("before").alias("before"), F.to_json("after").alias("after"), "src_pos", "_seq", "_error") for b in flow]
         each = lambda b: replace(b, events=rows.filter_rows(b.events, body["expr"], b.present, policy))
     elif kind == "map":
 
         def each(b: Branch) -> Branch:
             renamed = {str(r)[1:]: n for n, r in body["fields"].items() if isinstance(r, str) and r.startswith("$")}
-            return replace(b, events=rows.map_fields(b.events, body["fields"], b.present, b.key), key=tuple(renamed.get(k, k) for k in b.key))
+            return replace(b, events=rows.map_fields(b.events, body["fields"], b.present, b.key, policy), key=tuple(renamed.get(k, k) for k in b.key))
 
     elif kind == "py":
-        each = lambda b: replace(b, events=rows.py_step(b.events, body["script"]), present=frozenset(), rerouted=True)
+        each = lambda b: replace(b, events=rows.py_step(b.events, body["script"], policy=policy), present=frozenset(), rerouted=True)
     elif kind == "js":
         raise Coded("transform.script-compile-failed", detail="no JavaScript here; write the step as type: py with the same contract")
     elif kind == "join":
@@ -234,7 +238,7 @@ def build(ws: Workspace, pipeline: str, readers: Mapping[str, Reader], stream: b
         body = _with(ws, step)
         refs = body["from"].items() if isinstance(body["from"], dict) else enumerate(body["from"])
         inputs = {str(a): resolve(str(r), scans, plan.nodes) for a, r in refs}
-        if policy == "dead_letter" and body["type"] == "filter":
+        if policy == "dead_letter" and body["type"] in _JUDGED:
             plan.dead_of += [replace(b, id=f"{step['id']}+{b.id}") for b in _named([b for bs in inputs.values() for b in bs])]
         plan.nodes[step["id"]] = [replace(b, path=f"{b.path}~{step['id']}") for b in _step(body, inputs, policy, plan.dead, step["id"])]
     view = p.body.get("view")

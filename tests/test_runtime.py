@@ -126,6 +126,20 @@ def test_dead_letters_of_a_run_are_kept_and_counted(spark, land, tmp_path):
     assert p.start().error_count == 1 and p.dead_letters().count() == 3
 
 
+@pytest.mark.parametrize("step", ["{ id: s_out, from: orders, type: map, fields: { part: '=100 / (after.qty - 5)' } }", "{ id: s_out, from: orders, type: py, script: \"def process(r, ctx):\\n    1 / ((r['after'] or r['before'])['qty'] - 5)\\n    return r\\n\" }"])
+@pytest.mark.parametrize("policy", ["fail", "skip", "dead_letter"])
+def test_map_and_py_follow_the_error_policy(spark, land, tmp_path, step, policy):
+    p = Pipeline(spark, docs(step, settings=f"settings: {{ error_policy: {policy}, read_mode: snapshot_only }}\n"), "p", {"src": land[0]}, f"{tmp_path}/out")
+    seen = p.start()
+    if policy == "fail":
+        assert (seen.state, seen.error_count) == ("FAILED", 1), seen
+        return
+    assert (seen.state, seen.error_count, seen.record_count) == ("COMPLETED", int(policy == "dead_letter"), 2), seen
+    assert rows(p.table("tgt", "ods_orders", ("id",)).select("id")) == [(2,), (3,)]
+    if policy == "dead_letter":
+        assert rows(p.dead_letters().selectExpr("op", "get_json_object(after, '$.id')")) == [("r", "1")]
+
+
 @pytest.mark.parametrize("start, want, later", [("latest", [(1, 5), (2, 6), (3, 7)], [(1, 5), (2, 6), (3, 7), (4, 9)]), ("1970-01-01T00:00:00.002Z", [(1, 5), (3, 7)], [(1, 5), (3, 7), (4, 9)]), ("1970-01-01T00:00:00.003Z", [(1, 5), (2, 6), (3, 7)], [(1, 5), (2, 6), (3, 7), (4, 9)])])
 def test_the_tail_starts_where_it_is_told_to(spark, land, tmp_path, start, want, later):
     reader, more = land
