@@ -6,6 +6,7 @@ import os
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -51,3 +52,20 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_problem_queries_over_empty_tables(spark, tmp_path):
+    for p in glob.glob(f"{SF}/*.parquet"):
+        spark.read.parquet(p).limit(0).write.parquet(f"{tmp_path}/{os.path.basename(p)}")
+    for name in ("p1_found", "p1_kept", "p2_found", "p3_found", "p3_unkeyed", "p4_found", "p4_fields", "p5_found", "p5_columns", "p5_unified"):
+        assert entry.queries()[name](spark, str(tmp_path)).count() == 0, name
+
+
+def test_rows_of_nulls_change_nothing(spark, tmp_path):
+    for p in glob.glob(f"{SF}/*.parquet"):
+        df = spark.read.parquet(p)
+        none = spark.range(2).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+        df.unionByName(none).write.parquet(f"{tmp_path}/{os.path.basename(p)}")
+    for name in ("p1_found", "p2_found", "p3_found", "p4_found", "p5_found"):
+        got, want = (Counter(map(tuple, entry.queries()[name](spark, sf).collect())) for sf in (str(tmp_path), SF))
+        assert got == want, name
